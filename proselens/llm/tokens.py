@@ -17,6 +17,19 @@ _LOOSE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
+def cut(text: str) -> list[str]:
+    """The text's pieces between spaces, each with the space before it."""
+    if not text:
+        return []
+    if "  " in text or _LOOSE.search(text):
+        return [x for x in _CUT.split(text) if x]
+    pieces = text.split(" ")
+    pieces[1:] = [" " + x for x in pieces[1:]]
+    if not pieces[0]:
+        del pieces[0]
+    return pieces
+
+
 class _Pieces(dict):
     """piece -> little-endian uint32 ids; the older generation answers what the younger doesn't have."""
 
@@ -60,15 +73,7 @@ class PieceEncoder:
             self.young.older = older
         out = []
         for text in texts:
-            if not text:
-                pieces = []
-            elif "  " not in text and not _LOOSE.search(text):
-                pieces = text.split(" ")
-                pieces[1:] = [" " + x for x in pieces[1:]]
-                if not pieces[0]:
-                    del pieces[0]
-            else:
-                pieces = [x for x in _CUT.split(text) if x]
+            pieces = cut(text)
             try:
                 out.append(b"".join(map(self.young.__getitem__, pieces)))
             except KeyError:
