@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proselens.llm import bpe, packing, secrets, sharding, shared, simhash, simple8b
+from proselens.llm import bpe, fingerprints, packing, secrets, sharding, shared, simhash, simple8b
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -17,6 +17,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.compared(shared.table(spark, sf_dir, "documents"))
+    return found.withColumn("n_differing", F.size("differing")).drop("differing")
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = simple8b.write_ids(shared.table(spark, sf_dir, "documents"), JSON)
     return simple8b.read_ids(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -46,5 +51,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op5_token_output": op5_token_output, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op9_secrets": op9_secrets, "op10_sharding": op10_sharding}
+QUERIES = {"op1_packing": op1_packing, "op2_fingerprints": op2_fingerprints, "op5_token_output": op5_token_output, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op9_secrets": op9_secrets, "op10_sharding": op10_sharding}
 ORACLES: dict[str, str] = {}
