@@ -148,7 +148,7 @@ class Bpe:
             young, older = self.young, self.young.older
             for piece in pieces:
                 if piece not in young and piece not in older:
-                    young[piece] = b"".join([self._part(x) for x in self.findall(piece)])
+                    young[piece] = b"".join([self._part(x) for x in tokens.parts(piece, self.findall)])
             return b"".join(map(young.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> bytes:

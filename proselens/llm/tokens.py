@@ -12,7 +12,7 @@ import struct
 from collections.abc import Iterable
 
 #: Pieces that a worker keeps in each of its two generations: some 160 bytes each.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 900_000
 _LOOSE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
@@ -30,6 +30,19 @@ def cut(text: str) -> list[str]:
     return pieces
 
 
+#: Marks that may follow a word in a piece; with more than one kind of them in a row they are still one pre-token.
+_MARKS = ".,;:!?%#&$*|()-"
+
+
+def parts(piece: str, findall) -> list[str]:
+    """The piece's pre-tokens. Letters after at most one space, with or without marks after them, need no pattern:
+    `isalpha` is true of letters only, as \\p{L} is."""
+    word = piece.rstrip(_MARKS)
+    if (word[1:] if word[:1] == " " else word).isalpha():
+        return [piece] if len(word) == len(piece) else [word, piece[len(word) :]]
+    return findall(piece)
+
+
 class _Pieces(dict):
     """piece -> little-endian uint32 ids; the older generation answers what the younger doesn't have."""
 
@@ -53,7 +66,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path).model
-        self.parts = regex.compile(public_tokenizers.PATTERN).findall
+        self.findall = regex.compile(public_tokenizers.PATTERN).findall
         self.cache_pieces = cache_pieces
         self.young = _Pieces()
         self.bytes_as = byte_letters()
@@ -80,7 +93,7 @@ class PieceEncoder:
                 young, older, part = self.young, self.young.older, self._part
                 for piece in pieces:
                     if piece not in young and piece not in older:
-                        young[piece] = b"".join([part(x) for x in self.parts(piece)])
+                        young[piece] = b"".join([part(x) for x in parts(piece, self.findall)])
                 out.append(b"".join(map(young.__getitem__, pieces)))
         return out
 
