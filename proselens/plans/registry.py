@@ -4,14 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from proselens.operators import prose
+from proselens.plans import oracles as O
+from proselens.plans import seeds
+
+
+def _rule(code: str):
+    return lambda spark, sf_dir: prose.RULES[code](seeds.seeded(spark, sf_dir))
+
+
+NAMES = {code: f"rule_{code[2:]}_{f.__name__}" for code, f in prose.RULES.items()}
+
 
 def queries() -> dict:
-    return {}
+    out = {NAMES[code]: _rule(code) for code in prose.RULES}
+    out["rule_015_hedge_stack"] = lambda spark, sf_dir: prose.hedge_stack(seeds.seeded(spark, sf_dir))
+    out["rule_044_page_title"] = lambda spark, sf_dir: prose.page_title(seeds.pages(spark, sf_dir))
+    out["rule_057_separators"] = lambda spark, sf_dir: prose.separators(seeds.pages(spark, sf_dir))
+    return out
 
 
 def oracles() -> dict:
-    return {}
+    sql = O.sql()
+    out = {NAMES[code]: sql[code] for code in prose.RULES}
+    return out | {"rule_015_hedge_stack": sql["stack"], "rule_044_page_title": sql["PL044"], "rule_057_separators": sql["PL057"]}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = seeds.seeded(spark, sf_dir)
+    return prose.overlong(docs).unionByName(prose.hedging(docs))
