@@ -19,7 +19,7 @@ def cells(files: DataFrame, findings: DataFrame) -> DataFrame:
     """Per code, dataset and label: files, files with a hit, findings, share of files, findings a thousand words."""
     totals = files.groupBy("dataset", "label").agg(F.count(F.lit(1)).alias("files"), F.sum("words").alias("words"))
     found = hits(files, findings).groupBy("code", "dataset", "label").agg(F.count(F.lit(1)).alias("hit_files"), F.sum("n").alias("findings"))
-    return found.join(totals, ["dataset", "label"]).select("code", "dataset", "label", "files", "hit_files", "findings", F.round(F.col("hit_files") / F.col("files"), 6).alias("hit_rate"), F.round(1000 * F.col("findings") / F.col("words"), 6).alias("per_1k_words"))
+    return found.join(totals, ["dataset", "label"]).select("code", "dataset", "label", "files", "hit_files", "findings", F.round(F.col("hit_files") / F.col("files"), 6).alias("hit_rate"), F.round(F.try_divide(1000 * F.col("findings"), F.col("words")), 6).alias("per_1k_words"))
 
 
 def scoreboard(files: DataFrame, findings: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def scoreboard(files: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def _rate(n: Column, of: Column) -> Column:
-    return F.when(of > 0, n / of)
+    return F.try_divide(n, of)
 
 
 def pooled(files: DataFrame, findings: DataFrame) -> DataFrame:
@@ -38,10 +38,10 @@ def pooled(files: DataFrame, findings: DataFrame) -> DataFrame:
     found = hits(files, findings).groupBy("code").pivot("label", ["human", "ai"]).agg(F.count(F.lit(1))).na.fill(0)
     rows = found.crossJoin(F.broadcast(sizes.select(F.col("human").alias("human_files"), F.col("ai").alias("ai_files"))))  # one row
     h, a = _rate(F.col("human"), F.col("human_files")), _rate(F.col("ai"), F.col("ai_files"))
-    lift = F.when(h > 0, a / h)
+    lift = F.try_divide(a, h)
     verdict = F.when(F.col("ai_files") < LEAST_FILES, "nodata").when(F.coalesce(h, F.lit(0.0)) == 0, F.when(a >= LEAST_RATE, "sep").otherwise("chance")).when((lift >= STRONG) & (a >= LEAST_RATE), "sep").when(lift >= WEAK, "weak").when(lift < INVERSE, "inv").otherwise("chance")
-    shown = F.when(h > 0, F.format_string("%.2f", F.round(a / h, 2))).when(a > 0, F.lit("inf")).otherwise(F.lit("n/a"))
-    return rows.select("code", F.round(h, 6).alias("human_rate"), F.round(a, 6).alias("ai_rate"), F.round(F.when(h + a > 0, a / (h + a)), 6).alias("precision"), shown.alias("lift"), verdict.alias("verdict"))
+    shown = F.when(h > 0, F.format_string("%.2f", F.round(F.try_divide(a, h), 2))).when(a > 0, F.lit("inf")).otherwise(F.lit("n/a"))
+    return rows.select("code", F.round(h, 6).alias("human_rate"), F.round(a, 6).alias("ai_rate"), F.round(F.try_divide(a, h + a), 6).alias("precision"), shown.alias("lift"), verdict.alias("verdict"))
 
 
 def matrix(files: DataFrame, findings: DataFrame, labels=("human", "ai", "none")) -> DataFrame:

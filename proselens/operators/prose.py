@@ -141,7 +141,7 @@ def vocabulary(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
     either = java(f"(?:{L.VOCABULARY_STRONG}|{L.VOCABULARY_WEAK})")
     found = docs.where(F.col("text").rlike(either)).withColumn("n", n_words(F.col("text"))).withColumn("w", 2 * F.regexp_count("text", F.lit(strong)) + F.regexp_count("text", F.lit(weak)))
     kinds = F.size(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(either), F.lit(0)), lambda x: F.lower(F.substring(x, 1, 6)))))
-    flagged = F.when(F.col("n") >= 250, (F.floor(F.col("w") * 1000 / F.col("n")) >= 12) & (kinds >= 6)).otherwise((F.col("w") >= 6) & (kinds >= 4))
+    flagged = F.when(F.col("n") >= 250, (F.floor(F.try_divide(F.col("w") * 1000, F.col("n"))) >= 12) & (kinds >= 6)).otherwise((F.col("w") >= 6) & (kinds >= 4))
     return at_match(found.where(flagged), "PL016", either)
 
 
@@ -299,14 +299,14 @@ def uniformity(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
     """200 words or more of which sentence lengths vary little, and words or word triples repeat much."""
     rows = docs.withColumn("w", F.transform(words(F.col("text")), lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}'-]", "")))).where(F.size("w") >= 200).withColumn("n", F.transform(sentences(F.col("text")), lambda s: n_words(s).cast("double")))
     total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda a, x: a + f(x))
-    mean = total("n", lambda x: x) / F.size("n")
-    cv = F.when(F.size("n") >= 2, F.sqrt(F.greatest(total("n", lambda x: x * x) / F.size("n") - mean * mean, F.lit(0.0))) / mean)
-    ttr = F.size(F.array_distinct(F.slice("w", 1, 500))) / F.size(F.slice("w", 1, 500))
+    mean = F.try_divide(total("n", lambda x: x), F.size("n"))
+    cv = F.when(F.size("n") >= 2, F.try_divide(F.sqrt(F.greatest(F.try_divide(total("n", lambda x: x * x), F.size("n")) - mean * mean, F.lit(0.0))), mean))
+    ttr = F.try_divide(F.size(F.array_distinct(F.slice("w", 1, 500))), F.size(F.slice("w", 1, 500)))
     part = F.slice("w", 1, 30_000)
     # triples of the part as one array: the words, the words from the second and from the third, side by side
-    triples = F.slice(F.transform(F.arrays_zip(part.alias("a"), F.slice(part, 2, 30_000).alias("b"), F.slice(part, 3, 30_000).alias("c")), lambda z: F.concat_ws(" ", z["a"], z["b"], z["c"])), F.lit(1), F.size(part) - 2)
+    triples = F.slice(F.transform(F.arrays_zip(part.alias("a"), F.slice(part, 2, 30_000).alias("b"), F.slice(part, 3, 30_000).alias("c")), lambda z: F.concat_ws(" ", z["a"], z["b"], z["c"])), F.lit(1), F.greatest(F.size(part) - 2, F.lit(0)))
     measured = rows.select("path", F.round(cv, 6).alias("cv"), F.round(ttr, 6).alias("ttr"), triples.alias("t"))
-    repeated = F.round(1 - F.size(F.array_distinct("t")) / F.size("t"), 6)
+    repeated = F.round(1 - F.try_divide(F.size(F.array_distinct("t")), F.size("t")), 6)
     return _findings(measured.where((F.col("cv") < 0.45) & ((F.col("ttr") < 0.45) | (repeated > 0.04))), "PL041", F.lit(1), F.lit(1))
 
 
