@@ -54,57 +54,64 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
         width += rest > 0
     # selector: the first (most ids) whose next `count` ids all fit
     selector = np.full(grid.shape, ESCAPE, dtype=np.uint8)
-    selector[width <= 60] = 13
+    np.copyto(selector, 13, where=width <= 60)
     widest = {1: width}  # of the next 1, 2, 4 ... ids; beyond the grid there is nothing
     for c in (2, 4, 8, 16, 32):
         half = widest[c // 2]
         widest[c] = half.copy()
         np.maximum(half[:, : -(c // 2)], half[:, c // 2 :], out=widest[c][:, : -(c // 2)])
+    top = int(width.max())
     for s in range(12, -1, -1):
+        if s < 12 and BITS[s + 1] >= top and BITS[s] >= top:
+            selector.fill(s)  # every id fits, and more of them than by the selector before
+            continue
         c = int(COUNTS[s])
         half = widest[1 << (c.bit_length() - 1)]
         gap = c - (1 << (c.bit_length() - 1))
         fits = half <= BITS[s]
         if gap:
             fits[:, :-gap] &= half[:, gap:] <= BITS[s]
-        selector[fits] = s
+        np.copyto(selector, s, where=fits)
     # equal ids ahead, for runs: worth a word where they are more than the selector takes
     same = np.ones(grid.shape, dtype=np.int16)
     equal = np.zeros((blocks, block), dtype=bool)
     equal[:, : block - 1] = grid[:, : block - 1] == grid[:, 1:block]
     stop = np.where(equal, np.int16(block), np.arange(block, dtype=np.int16))
     same[:, :block] = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1] - np.arange(block, dtype=np.int16) + 1
-    rows, at, out, owner = np.arange(blocks), np.zeros(blocks, dtype=np.int64), [], []
-    while len(rows):
-        s = selector[rows, at]
-        run = np.minimum(same[rows, at].astype(np.int64), held[rows] - at)
-        take = np.where(s < 14, COUNTS[np.minimum(s, 13)], 1)
-        as_run = (run > take) & (width[rows, at] <= 32)
-        word = np.zeros(len(rows), dtype=np.uint64)
-        k = np.flatnonzero(as_run)
-        word[k] = np.uint64(RUN) | grid[rows[k], at[k]] << np.uint64(4) | run[k].astype(np.uint64) << np.uint64(36)
-        take = np.where(as_run, run, take)
-        for sel in np.unique(s[~as_run]):
-            k = np.flatnonzero((s == sel) & ~as_run)
-            if sel == ESCAPE:
-                word[k] = ESCAPE
-                continue
-            c, b = int(COUNTS[sel]), int(BITS[sel])
-            values = grid[rows[k][:, None], at[k][:, None] + np.arange(c)]
-            word[k] = np.uint64(sel) | np.bitwise_or.reduce(values << (np.arange(c, dtype=np.uint64) * np.uint64(b) + np.uint64(4)), axis=1)
-        out.append(word)
-        owner.append(rows)
-        k = np.flatnonzero((s == ESCAPE) & ~as_run)
-        if len(k):
-            out.append(grid[rows[k], at[k]])
-            owner.append(rows[k])
-        at = at + take
-        go = at < held[rows]
-        rows, at = rows[go], at[go]
-    words, owner = np.concatenate(out), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    starts = np.searchsorted(owner[order], np.arange(blocks))
-    return words[order].astype("<u8"), starts.astype("<u8")
+    # what a word at each place would take: its selector's ids, or a longer run
+    take = np.where(selector < 14, COUNTS[np.minimum(selector, 13)], 1).astype(np.int16)
+    run = np.minimum(same, (held[:, None] - np.arange(block + 60)).astype(np.int16))
+    as_run = (run > take) & (width <= 32)
+    np.copyto(take, run, where=as_run)
+    # all blocks follow their chains of words together
+    step, columns = take.reshape(-1), block + 60
+    at = np.arange(blocks, dtype=np.int64) * columns
+    end, chain = at + held, []
+    while len(at):
+        chain.append(at)
+        at = at + step[at]
+        go = at < end
+        at, end = at[go], end[go]
+    place = np.sort(np.concatenate(chain))
+    # then all words of one selector are made at once
+    kind, flat = np.where(as_run.reshape(-1)[place], RUN, selector.reshape(-1)[place]), grid.reshape(-1)
+    escaped = kind == ESCAPE
+    slot = np.arange(len(place)) + np.concatenate([[0], np.cumsum(escaped)[:-1]])
+    words = np.zeros(len(place) + int(escaped.sum()), dtype=np.uint64)
+    for s in np.unique(kind).tolist():
+        k = np.flatnonzero(kind == s)
+        if s == RUN:
+            words[slot[k]] = np.uint64(RUN) | flat[place[k]] << np.uint64(4) | take.reshape(-1)[place[k]].astype(np.uint64) << np.uint64(36)
+        elif s == ESCAPE:
+            words[slot[k]] = ESCAPE
+            words[slot[k] + 1] = flat[place[k]]
+        else:
+            word = np.full(len(k), s, dtype=np.uint64)
+            for j in range(int(COUNTS[s])):
+                word |= flat[place[k] + j] << np.uint64(4 + j * int(BITS[s]))
+            words[slot[k]] = word
+    starts = slot[np.searchsorted(place, np.arange(blocks, dtype=np.int64) * columns)]
+    return words.astype("<u8"), starts.astype("<u8")
 
 
 def decode_blocks(words: np.ndarray, starts: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
@@ -262,7 +269,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int | None = 0, folder: s
             where.move(temp, f"{root}/{name}")
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"{folder}/{name}"], "n_docs": [len(writer.docs)], "n_ids": [writer.n], "words": [writer.words]})
 
-    ordered = shared.id_text(docs).repartitionByRange(shared.partitions(spark), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = shared.id_text(docs).repartitionByRange(shared.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     return shared.written(ordered.mapInArrow(files, "part int, file string, n_docs long, n_ids long, words long"), "manifest")
 
 
