@@ -34,9 +34,8 @@ def _rate(n: Column, of: Column) -> Column:
 
 def pooled(files: DataFrame, findings: DataFrame) -> DataFrame:
     """Per code: hit rates of human and AI files, precision with both classes alike, lift and verdict."""
-    sizes = files.groupBy().pivot("label", ["human", "ai"]).count().na.fill(0)
-    found = hits(files, findings).groupBy("code").pivot("label", ["human", "ai"]).agg(F.count(F.lit(1))).na.fill(0)
-    rows = found.crossJoin(F.broadcast(sizes.select(F.col("human").alias("human_files"), F.col("ai").alias("ai_files"))))  # one row
+    n_human, n_ai = files.agg(F.count_if(F.col("label") == "human"), F.count_if(F.col("label") == "ai")).first()
+    rows = hits(files, findings).groupBy("code").pivot("label", ["human", "ai"]).agg(F.count(F.lit(1))).na.fill(0).withColumn("human_files", F.lit(n_human)).withColumn("ai_files", F.lit(n_ai))
     h, a = _rate(F.col("human"), F.col("human_files")), _rate(F.col("ai"), F.col("ai_files"))
     lift = F.try_divide(a, h)
     verdict = F.when(F.col("ai_files") < LEAST_FILES, "nodata").when(F.coalesce(h, F.lit(0.0)) == 0, F.when(a >= LEAST_RATE, "sep").otherwise("chance")).when((lift >= STRONG) & (a >= LEAST_RATE), "sep").when(lift >= WEAK, "weak").when(lift < INVERSE, "inv").otherwise("chance")

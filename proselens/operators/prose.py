@@ -19,6 +19,8 @@ LIST_ITEM = r"^\s*(?:[-*+]|\d+[.)])\s+\S"
 #: Lines that keep their block from being a paragraph.
 NOT_PROSE = r"^ {0,3}#{1,6}\s+\S|^\s*(?:[-*+]|\d+[.)])\s+\S|^\s*\||\|.*\||^\s*(?:-{3,}|\*{3,}|_{3,})\s*$|^\s*<!--"
 SENTENCE_END = r"""([.!?]+["')\]]*)\s+"""
+EMOJI_LINE = r"^\s*(?:#{1,6}\s+|[-*+]\s+|\d+[.)]\s+)?[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
+REFERENCES = ("acknowledgements", "authors", "bibliography", "contact", "credits", "further reading", "licence", "license", "links", "references", "see also", "sources", "autores", "licença", "referências", "ver também")
 DIFF_PATHS = r"(?:^|/)(?:CHANGELOG|HISTORY|MIGRATION|NEWS|RELEASE|UPGRADING)[^/]*$|(?:^|/)(?:changelog|release-notes|whatsnew)/"
 
 
@@ -181,11 +183,28 @@ def boldface(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
 
 
 def headings(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
-    """Three headings of three words or more, three quarters of them in title case."""
-    found = lines(docs).where(F.col("s").rlike(HEADING)).withColumn("w", words(F.regexp_replace("s", r"^ {0,3}#{1,6}\s+|\s+#*\s*$", ""))).where(F.size("w") >= 3)
+    """Lines marked with emoji, twice or more; three headings of three words or more, three quarters of them in title
+    case; and two thin sections: under 25 words and two sentences, without fence or table, not the first title, not the
+    parent of a deeper heading, not a list of references."""
+    numbered = lines(docs)
+    marked = numbered.where(F.col("s").rlike(EMOJI_LINE)).groupBy("path").agg(F.min("i").alias("i"), F.count(F.lit(1)).alias("n")).where("n >= 2")
+    found = numbered.where(F.col("s").rlike(HEADING)).withColumn("w", words(F.regexp_replace("s", r"^ {0,3}#{1,6}\s+|\s+#*\s*$", ""))).where(F.size("w") >= 3)
     plain = F.filter("w", lambda x: x.rlike(r"^\p{L}") & ~F.lower(x).isin(*"a an and as at but by for from in nor of on or the to with de da do das dos e em para por com o os um uma".split()))
     title = (F.size(F.filter(plain, lambda x: x.rlike(r"^\p{Lu}"))) >= 0.8 * F.size(plain)) & (F.size(plain) >= 2)
-    return _findings(found.groupBy("path").agg(F.min("i").alias("i"), F.count(F.lit(1)).alias("n"), F.count_if(title).alias("t")).where("n >= 3 and t >= 0.75 * n"), "PL021", F.col("i") + 1, F.lit(1))
+    cased = found.groupBy("path").agg(F.min("i").alias("i"), F.count(F.lit(1)).alias("n"), F.count_if(title).alias("t")).where("n >= 3 and t >= 0.75 * n")
+    # only documents with two headings are numbered by section
+    some = lines(docs.where(F.col("text").rlike(r"(?ms)" + HEADING.replace("\\S", r"\S.*^ {0,3}#{1,6}\s+\S"))))
+    head = F.col("s").rlike(HEADING)
+    sections = some.withColumn("g", F.sum(head.cast("int")).over(Window.partitionBy("path").orderBy("i"))).where("g > 0")
+    body = F.when(~head, F.col("s"))
+    level = F.length(F.regexp_extract("s", r"^ {0,3}(#{1,6})", 1))
+    title_of = F.lower(F.trim(F.regexp_replace("s", r"^ {0,3}#{1,6}\s+|\s+#*\s*$", "")))
+    per = sections.groupBy("path", "g").agg(F.min("i").alias("i"), F.max(F.when(head, level)).alias("level"), F.max(F.when(head, title_of)).alias("title"), F.coalesce(F.sum(n_words(body)), F.lit(0)).alias("n"), F.coalesce(F.sum(F.regexp_count(body, F.lit(r"[.!?](?:\s|$)"))), F.lit(0)).alias("ends"), F.coalesce(F.max(body.rlike(r"^\s*(?:```|~~~|\|)")), F.lit(False)).alias("other"))
+    after = F.lead("level").over(Window.partitionBy("path").orderBy("g"))
+    thin = per.withColumn("after", after).where((F.col("n") < 25) & (F.col("ends") < 2) & ~F.col("other") & ~((F.col("g") == 1) & (F.col("level") == 1)) & ~F.coalesce(F.col("after") > F.col("level"), F.lit(False)) & ~F.col("title").isin(*REFERENCES))
+    twice = thin.groupBy("path").agg(F.min("i").alias("i"), F.count(F.lit(1)).alias("k")).where("k >= 2")
+    out = [_findings(rows, "PL021", F.col("i") + 1, F.lit(1)) for rows in (marked, cased, twice)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def filler(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:

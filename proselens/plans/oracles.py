@@ -92,7 +92,9 @@ def sql() -> dict[str, str]:
     out["PL020"] = with_() + f"SELECT 'PL020' AS code, path, {place(before('text', '[‘’“”]', ''))} FROM seeded WHERE len(regexp_extract_all(text, '[‘’“”]')) >= 2"
     small = ", ".join(f"'{w}'" for w in "a an and as at but by for from in nor of on or the to with de da do das dos e em para por com o os um uma".split())
     heads = f"heads AS (SELECT path, i, list_filter(string_split_regex(regexp_replace(s, '^ {{0,3}}#{{1,6}}\\s+|\\s+#*\\s*$', '', 'g'), '\\s+'), x -> x <> '') AS w FROM lines WHERE regexp_matches(s, {q(R.HEADING)})), judged AS (SELECT path, i, list_filter(w, x -> regexp_matches(x, '^\\p{{L}}') AND lower(x) NOT IN ({small})) AS plain FROM heads WHERE len(w) >= 3)"
-    out["PL021"] = with_(LINES, heads) + "SELECT 'PL021' AS code, path, CAST(min(i) + 1 AS INTEGER) AS line, 1 AS col FROM judged GROUP BY path HAVING count(*) >= 3 AND count(*) FILTER (len(list_filter(plain, x -> regexp_matches(x, '^\\p{Lu}'))) >= 0.8 * len(plain) AND len(plain) >= 2) >= 0.75 * count(*)"
+    body = "CASE WHEN NOT h THEN s END"
+    sections = f"marked AS (SELECT *, regexp_matches(s, {q(R.HEADING)}) AS h FROM lines), numbered AS (SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY i) AS g FROM marked), per AS (SELECT path, g, min(i) AS i, max(CASE WHEN h THEN length(regexp_extract(s, '^ {{0,3}}(#{{1,6}})', 1)) END) AS level, max(CASE WHEN h THEN lower(trim(regexp_replace(s, '^ {{0,3}}#{{1,6}}\\s+|\\s+#*\\s*$', '', 'g'))) END) AS title, coalesce(sum({n_words(body)}), 0) AS n, coalesce(sum(len(regexp_extract_all({body}, '[.!?](?:\\s|$)'))), 0) AS ends, coalesce(bool_or(regexp_matches({body}, '^\\s*(?:```|~~~|[|])')), false) AS other FROM numbered WHERE g > 0 GROUP BY path, g), after_ AS (SELECT *, lead(level) OVER (PARTITION BY path ORDER BY g) AS after, count(*) OVER (PARTITION BY path) AS heads FROM per), thin AS (SELECT path, i FROM after_ WHERE heads >= 2 AND n < 25 AND ends < 2 AND NOT other AND NOT (g = 1 AND level = 1) AND NOT coalesce(after > level, false) AND title NOT IN ({', '.join(q(x) for x in R.REFERENCES)}))"
+    out["PL021"] = with_(LINES, heads, sections) + f"SELECT 'PL021' AS code, path, CAST(min(i) + 1 AS INTEGER) AS line, 1 AS col FROM judged GROUP BY path HAVING count(*) >= 3 AND count(*) FILTER (len(list_filter(plain, x -> regexp_matches(x, '^\\p{{Lu}}'))) >= 0.8 * len(plain) AND len(plain) >= 2) >= 0.75 * count(*) UNION ALL SELECT 'PL021', path, CAST(min(i) + 1 AS INTEGER), 1 FROM lines WHERE regexp_matches(s, {q(R.EMOJI_LINE)}) GROUP BY path HAVING count(*) >= 2 UNION ALL SELECT 'PL021', path, CAST(min(i) + 1 AS INTEGER), 1 FROM thin GROUP BY path HAVING count(*) >= 2"
     said, adverb = both(L.FILLER), exact_re2(L.FILLER_ADVERB)
     found = f"found AS (SELECT path, text, list_transform(regexp_extract_all(text, {q('(?i)' + said)}), x -> lower(x)) AS m, len(regexp_extract_all(text, {q('(?im)' + adverb)})) AS a, {n_words('text')} AS n FROM seeded)"
     out["PL027"] = with_(found) + f"SELECT 'PL027' AS code, path, {place(before('text', f'{said}|{adverb}', 'im').replace('.*$', '(?-m:.*$)'))} FROM found WHERE 2 * len(m) + a >= greatest(6, ceil(6 * n / 1000.0)) OR len(m) > len(list_distinct(m))"
