@@ -45,6 +45,12 @@ def n_words(text: Column) -> Column:
     return F.size(words(text))
 
 
+def fixed(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """`keep` and the columns, each worked out once a row. A filter on a column of a projection is pushed below it, with
+    all that the column is made of; one on the output of a generator isn't."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _findings(rows: DataFrame, code: str, line: Column, col: Column) -> DataFrame:
     return rows.select(F.lit(code).alias("code"), "path", line.cast("int").alias("line"), col.cast("int").alias("col"))
 
@@ -108,7 +114,7 @@ def colon_reveal(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
 
 def dense(docs: DataFrame, code: str, pattern: str, least: int, repeats: int = 2) -> DataFrame:
     """One finding a document where matches reach max(least, ceil(least * words / 1000)) or one phrase repeats."""
-    found = docs.where(F.col("text").rlike(pattern)).withColumn("m", F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.lower))
+    found = fixed(docs.where(F.col("text").rlike(pattern)), ["path", "text"], m=F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.lower))
     n, floor = F.size("m"), F.greatest(F.lit(least), F.ceil(F.lit(least) * n_words(F.col("text")) / 1000))
     often = F.exists(F.array_distinct("m"), lambda x: F.size(F.filter("m", lambda y: y == x)) >= repeats)
     return at_match(found.where((n >= floor) | often), code, pattern)
@@ -141,15 +147,16 @@ def hyphens(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
 def vocabulary(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
     strong, weak = java(L.VOCABULARY_STRONG), java(L.VOCABULARY_WEAK)
     either = java(f"(?:{L.VOCABULARY_STRONG}|{L.VOCABULARY_WEAK})")
-    found = docs.where(F.col("text").rlike(either)).withColumn("n", n_words(F.col("text"))).withColumn("w", 2 * F.regexp_count("text", F.lit(strong)) + F.regexp_count("text", F.lit(weak)))
     kinds = F.size(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(either), F.lit(0)), lambda x: F.lower(F.substring(x, 1, 6)))))
-    flagged = F.when(F.col("n") >= 250, (F.floor(F.try_divide(F.col("w") * 1000, F.col("n"))) >= 12) & (kinds >= 6)).otherwise((F.col("w") >= 6) & (kinds >= 4))
+    found = fixed(docs.where(F.col("text").rlike(either)), ["path", "text"], n=n_words(F.col("text")), w=2 * F.regexp_count("text", F.lit(strong)) + F.regexp_count("text", F.lit(weak)), kinds=kinds)
+    flagged = F.when(F.col("n") >= 250, (F.floor(F.try_divide(F.col("w") * 1000, F.col("n"))) >= 12) & (F.col("kinds") >= 6)).otherwise((F.col("w") >= 6) & (F.col("kinds") >= 4))
     return at_match(found.where(flagged), "PL016", either)
 
 
 def parallelism(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
-    triple, negative, trailing = exact_java(L.TRICOLON), java(any_of(L.NEGATIVE_PARALLELISM, natlangs)), exact_java(any_of(L.TRAILING_PARTICIPLE, natlangs))
-    counts = docs.select("path", "text", F.regexp_count("text", F.lit(triple)).alias("a"), (F.regexp_count("text", F.lit(negative)) + F.regexp_count("text", F.lit(trailing))).alias("b"))
+    # words and gaps are taken whole: giving one back letter by letter never helps
+    triple, negative, trailing = exact_java(L.TRICOLON).replace(r"\w+", r"\w++").replace(r"\s+", r"\s++"), java(any_of(L.NEGATIVE_PARALLELISM, natlangs)), exact_java(any_of(L.TRAILING_PARTICIPLE, natlangs))
+    counts = fixed(docs, ["path", "text"], a=F.regexp_count("text", F.lit(triple)), b=F.regexp_count("text", F.lit(negative)) + F.regexp_count("text", F.lit(trailing)))
     flagged = counts.where("b >= 2 or a >= 3")
     place = lambda p: F.when(F.col("text").rlike(p), F.regexp_instr("text", F.lit(p)))
     at = F.when(F.col("b") >= 2, F.least(place(negative), place(trailing))).otherwise(place(triple))
@@ -209,7 +216,7 @@ def headings(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
 
 def filler(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
     said, adverb = java(any_of(L.FILLER, natlangs)), "(?m)" + java(L.FILLER_ADVERB)
-    found = docs.withColumn("m", F.transform(F.regexp_extract_all("text", F.lit(said), F.lit(0)), F.lower)).withColumn("a", F.regexp_count("text", F.lit(adverb))).where((F.size("m") > 0) | (F.col("a") > 0))
+    found = fixed(docs, ["path", "text"], m=F.transform(F.regexp_extract_all("text", F.lit(said), F.lit(0)), F.lower), a=F.regexp_count("text", F.lit(adverb))).where((F.size("m") > 0) | (F.col("a") > 0))
     weighed = 2 * F.size("m") + F.col("a") >= F.greatest(F.lit(6), F.ceil(6 * n_words(F.col("text")) / 1000))
     return at_match(found.where(weighed | (F.size("m") > F.size(F.array_distinct("m")))), "PL027", f"(?m){said}|{java(L.FILLER_ADVERB)}")
 
@@ -220,8 +227,8 @@ def weak_verbs(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
     both = java(f"(?:{any_of(L.WEAK_VERB, natlangs)}|{any_of(L.VAGUE, natlangs)})")
     # a line with a digit keeps its weak verbs alone
     shown = F.array_join(F.transform(F.split("text", "\n", -1), lambda s: F.when(s.rlike("[0-9]"), F.regexp_replace(s, vague, " ")).otherwise(s)), "\n")
-    found = docs.where(F.col("text").rlike(both)).select("path", shown.alias("text"), n_words(F.col("text")).alias("n")).where(F.col("text").rlike(both))
-    m = found.withColumn("m", F.transform(F.regexp_extract_all("text", F.lit(both), F.lit(0)), F.lower))
+    found = fixed(docs.where(F.col("text").rlike(both)), ["path"], text=shown, n=n_words(F.col("text")))
+    m = fixed(found.where(F.col("text").rlike(both)), ["path", "text", "n"], m=F.transform(F.regexp_extract_all("text", F.lit(both), F.lit(0)), F.lower))
     flagged = (F.size("m") >= F.greatest(F.lit(3), F.ceil(3 * F.col("n") / 1000))) | (F.size("m") > F.size(F.array_distinct("m")))
     return at_match(m.where(flagged), "PL028", both)
 
@@ -250,19 +257,20 @@ def recap(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
 def fragmentation(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
     """Paragraphs with three short sentences in a row, or two in a row that open with and, but or or, or four of about one
     length throughout."""
-    rows = paragraphs(docs).withColumn("s", sentences(F.col("text"))).withColumn("n", F.transform("s", n_words))
-    short = lambda k, most: F.exists(F.sequence(F.lit(0), F.size("n") - k), lambda i: F.forall(F.sequence(i, i + k - 1), lambda j: F.get("n", j) <= most))
-    joined = F.transform("s", lambda x: x.rlike(r"(?i)^\s*(?:and|but|or)(?![A-Za-z0-9_])"))
-    twice = (F.size("s") >= 2) & F.exists(F.sequence(F.lit(0), F.greatest(F.size("s") - 2, F.lit(0))), lambda i: F.get(joined, i) & F.coalesce(F.get(joined, i + 1), F.lit(False)))
+    cut = fixed(paragraphs(docs), ["path", "first"], s=sentences(F.col("text")))
+    # a letter a sentence: its length and how it opens, so that runs are substrings
+    lengths = F.transform("s", n_words)
+    rows = fixed(cut, ["path", "first"], n=lengths, c=F.array_join(F.transform("s", lambda x: F.when(x.rlike(r"(?i)^\s*(?:and|but|or)(?![A-Za-z0-9_])"), "c").otherwise("-")), ""))
+    short = F.array_join(F.transform("n", lambda x: F.when(x <= 5, "s").otherwise("-")), "").contains("sss")
     even = (F.size("n") >= 4) & (F.array_max("n") - F.array_min("n") <= 2)
-    return _findings(rows.where(((F.size("n") >= 3) & short(3, 5)) | twice | even), "PL030", F.col("first"), F.lit(1))
+    return _findings(rows.where(short | F.col("c").contains("cc") | even), "PL030", F.col("first"), F.lit(1))
 
 
 def overlong(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
     """Sentences of more than 50 words (57 where Portuguese alone is enabled), at their first character."""
     most = 57 if tuple(natlangs) == ("pt",) else 50
     marked = F.split(F.regexp_replace("text", r"""([.!?]+["')\]]*\s+)""", "$1\u0001"), "\u0001", -1)
-    rows = paragraphs(docs).where(n_words(F.col("text")) > most).select("path", "first", "text", marked.alias("p"))
+    rows = fixed(paragraphs(docs).where(n_words(F.col("text")) > most), ["path", "first", "text"], p=marked)
     # the place of sentence k is the length of the ones before it; only long ones are exploded
     ends = F.aggregate("p", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
     long = F.filter(F.arrays_zip(F.col("p").alias("s"), F.slice(ends, F.lit(1), F.size("p")).alias("at")), lambda z: F.size(words(z["s"])) > most)
@@ -316,7 +324,9 @@ def diff_anchored(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
 
 def uniformity(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
     """200 words or more of which sentence lengths vary little, and words or word triples repeat much."""
-    rows = docs.withColumn("w", F.transform(words(F.col("text")), lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}'-]", "")))).where(F.size("w") >= 200).withColumn("n", F.transform(sentences(F.col("text")), lambda s: n_words(s).cast("double")))
+    plain = F.transform(words(F.col("text")), lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}'-]", "")))
+    long = docs.where(n_words(F.col("text")) >= 200)
+    rows = fixed(long, ["path"], w=plain, n=F.transform(sentences(F.col("text")), lambda s: n_words(s).cast("double")))
     total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda a, x: a + f(x))
     mean = F.try_divide(total("n", lambda x: x), F.size("n"))
     cv = F.when(F.size("n") >= 2, F.try_divide(F.sqrt(F.greatest(F.try_divide(total("n", lambda x: x * x), F.size("n")) - mean * mean, F.lit(0.0))), mean))
@@ -324,7 +334,9 @@ def uniformity(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
     part = F.slice("w", 1, 30_000)
     # triples of the part as one array: the words, the words from the second and from the third, side by side
     triples = F.slice(F.transform(F.arrays_zip(part.alias("a"), F.slice(part, 2, 30_000).alias("b"), F.slice(part, 3, 30_000).alias("c")), lambda z: F.concat_ws(" ", z["a"], z["b"], z["c"])), F.lit(1), F.greatest(F.size(part) - 2, F.lit(0)))
-    measured = rows.select("path", F.round(cv, 6).alias("cv"), F.round(ttr, 6).alias("ttr"), triples.alias("t"))
+    # the variation decides first: triples are made only where it is low
+    even = fixed(rows, ["path", "w"], cv=F.round(cv, 6), ttr=F.round(ttr, 6)).where("cv < 0.45")
+    measured = fixed(even, ["path", "cv", "ttr"], t=triples)
     repeated = F.round(1 - F.try_divide(F.size(F.array_distinct("t")), F.size("t")), 6)
     return _findings(measured.where((F.col("cv") < 0.45) & ((F.col("ttr") < 0.45) | (repeated > 0.04))), "PL041", F.lit(1), F.lit(1))
 

@@ -39,6 +39,7 @@ SEEDS = [
     "\n\n# Challenges\n\n## The Long Road Home\n\n### A Second Great Idea\n\n# What We Learned Today",
     "**One** two **three** four **five** six **seven**.\n- **A**: x\n- **B**: y\n- **C**: z",
     "✅ Done\n- 🚀 Launch\n## Notes\nA few words. And more. And then some.\n## Rest\nShort\n## See also\nx\n## Last\nTiny",
+    " ".join(["The small cat sat down here."] * 300),
     "Plain words with nothing to find in them.",
 ]
 
