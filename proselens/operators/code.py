@@ -33,35 +33,30 @@ def _body() -> Column:
     return F.regexp_replace("text", r"^(?:/\*+|//+|#+|<!--)\s*|\s*(?:\*+/|-->)$", "")
 
 
-def comment_rules(rows: DataFrame) -> DataFrame:
-    c = _comments(rows)
-    parts = [("PL001", c.where("flag").where(F.col("text").rlike(java(L.ELISION)))), ("PL002", c.where(F.col("text").rlike(java(L.PREAMBLE)))), ("PL004", c.where(F.col("text").rlike(java(L.ATTRIBUTION)))), ("PL050", c.where(F.col("text").rlike(java(L.STAND_IN)))), ("PL051", c.where(_body().rlike(java(L.DEMO))))]
-    out = _out(parts[0][1], "PL001")
-    for code, hit in parts[1:]:
-        out = out.unionByName(_out(hit, code))
-    return out
-
-
-def sample_values(rows: DataFrame) -> DataFrame:
-    hit = F.col("text").rlike(java(L.SAMPLE_VALUE)) | F.col("text").rlike(L.SECRET_SHAPE) | F.col("text").rlike(L.PLACEHOLDER_HOST)
-    return _out(_open(_kind(rows, "string", "attr").where(F.col("name") != "doc").where(hit)), "PL009")
-
-
-def fact_rules(rows: DataFrame) -> DataFrame:
-    """Rules whose facts the front end has established: one filter."""
-    codes = {"fence": "PL003", "catch": "PL005", "except": "PL006", "cast": "PL007", "stub": "PL008", "reinvent": "PL037", "wrapper": "PL039", "restate": "PL042"}
-    found = _kind(rows, *codes).where(F.col("kind").isin("fence", "cast") | ~F.col("path").rlike(GATED)).where(~((F.col("kind") == "stub") & F.col("path").endswith(".pyi")))
-    return found.select(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])[F.col("kind")].alias("code"), "path", "line", "col")
-
-
-def directives(rows: DataFrame) -> DataFrame:
-    """Type checks switched off by comment, without a reason in brackets."""
-    return _out(_comments(rows).where(F.col("lang").isin("ts", "tsx") & F.col("text").rlike(r"@ts-(?:ignore|nocheck)(?!\s*\[)")), "PL007")
-
-
-def emails(rows: DataFrame) -> DataFrame:
-    """Hand-written e-mail patterns in strings."""
-    return _out(_open(_kind(rows, "string").where(F.col("text").contains("@") & F.col("text").rlike(r"\[[^\]]*a-z[^\]]*\]\+?.*@.*\[[^\]]*a-z"))), "PL037")
+#: Facts that the front end has established, by the rule they are findings of.
+FACTS = {"fence": "PL003", "catch": "PL005", "except": "PL006", "cast": "PL007", "stub": "PL008", "reinvent": "PL037", "wrapper": "PL039", "restate": "PL042"}
+
+
+def row_rules(rows: DataFrame) -> DataFrame:
+    """All rules that look at one row: the front end runs once for them, and each row tells the rules it breaks."""
+    kind, text, lang = F.col("kind"), F.col("text"), F.col("lang")
+    comment = (kind == "comment") & (F.col("name") != "doc")
+    free = ~F.col("path").rlike(GATED)
+    value = kind.isin("string", "attr") & (F.col("name") != "doc")
+    conditions = [
+        ("PL001", comment & F.col("flag") & text.rlike(java(L.ELISION))),
+        ("PL002", comment & text.rlike(java(L.PREAMBLE))),
+        ("PL004", comment & text.rlike(java(L.ATTRIBUTION))),
+        ("PL050", comment & text.rlike(java(L.STAND_IN))),
+        ("PL051", comment & _body().rlike(java(L.DEMO))),
+        ("PL007", comment & lang.isin("ts", "tsx") & text.rlike(r"@ts-(?:ignore|nocheck)(?!\s*\[)")),
+        ("PL009", value & free & (text.rlike(java(L.SAMPLE_VALUE)) | text.rlike(L.SECRET_SHAPE) | text.rlike(L.PLACEHOLDER_HOST))),
+        ("PL037", (kind == "string") & free & text.contains("@") & text.rlike(r"\[[^\]]*a-z[^\]]*\]\+?.*@.*\[[^\]]*a-z")),
+        ("PL038", (kind == "import") & free & lang.isin("ts", "tsx") & F.col("name").isin(*STDLIB_FIXES)),
+    ]
+    conditions += [(code, (kind == fact) & (F.lit(fact in ("fence", "cast")) | free) & (F.lit(fact != "stub") | ~F.col("path").endswith(".pyi"))) for fact, code in FACTS.items()]
+    broken = F.array_compact(F.array(*[F.when(c, F.lit(code)) for code, c in conditions]))
+    return rows.select(F.explode(broken).alias("code"), "path", "line", "col")
 
 
 def unresolved(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -75,10 +70,6 @@ def unresolved(rows: DataFrame, known: DataFrame) -> DataFrame:
     return _out(imports.join(live, "ecosystem", "left_semi").join(names, ["ecosystem", "package"], "left_anti"), "PL010")
 
 
-def redundant(rows: DataFrame) -> DataFrame:
-    return _out(_open(_kind(rows, "import").where(F.col("lang").isin("ts", "tsx") & F.col("name").isin(*STDLIB_FIXES))), "PL038")
-
-
 def single_implementation(rows: DataFrame) -> DataFrame:
     """Abstractions with exactly one implementor in their file."""
     a = _open(_kind(rows, "abstract")).select("path", "name", "line", "col")
@@ -88,8 +79,8 @@ def single_implementation(rows: DataFrame) -> DataFrame:
 
 def long_comments(rows: DataFrame, most: int = 40) -> DataFrame:
     """Plain comments on lines that follow each other, of more than `most` words together; not a licence, not mostly
-    signs, not in generated files."""
-    c = _open(_comments(rows).where("flag"))
+    signs, not in generated files; in Go only inside functions."""
+    c = _open(_comments(rows).where("flag and name <> 'top'"))
     generated = c.where((F.col("line") <= 5) & F.col("text").rlike("(?i)do not edit|@generated")).select("path").distinct()
     islands = c.join(generated, "path", "left_anti").withColumn("g", F.col("line") - F.row_number().over(Window.partitionBy("path").orderBy("line")))
     words = F.size(F.filter(F.split(_body(), r"\s+", -1), lambda w: w.rlike(r"\w")))
@@ -117,9 +108,7 @@ def uniform_code(docs: DataFrame) -> DataFrame:
 
 
 def all_rules(docs: DataFrame, rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    out = comment_rules(rows)
-    for part in (sample_values(rows), fact_rules(rows), directives(rows), emails(rows), redundant(rows), single_implementation(rows), long_comments(rows), uniform_code(docs)):
+    out = row_rules(rows)
+    for part in (single_implementation(rows), long_comments(rows), uniform_code(docs)):
         out = out.unionByName(part)
     return out.unionByName(unresolved(rows, known)) if known is not None else out
-
-

@@ -36,7 +36,7 @@ def prose_findings(docs: DataFrame, codes: set[str], natlangs) -> DataFrame:
 def code_findings(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     rows = front_code.nodes(docs).persist()
     found = code.all_rules(docs, rows, known)
-    return found.unionByName(code.sample_values(markup.attributes(docs)))
+    return found.unionByName(code.row_rules(markup.attributes(docs)))
 
 
 def lint(docs: DataFrame, config: Config | None = None, known: DataFrame | None = None, images: DataFrame | None = None, baseline: DataFrame | None = None) -> DataFrame:

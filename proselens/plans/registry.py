@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proselens.operators import corpus, pipeline, prose
-from proselens.plans import catalog, seeds
+from proselens.operators import code, corpus, design, pipeline, prose, provenance
+from proselens.plans import catalog, fixtures, seeds
 from proselens.plans import oracles as O
+from proselens.sources import code as front_code
+from proselens.sources import images, style
+from proselens.streaming import lint as streams
 
 #: Rules whose findings the corpus and pipeline queries read.
 USED = ("PL012", "PL018", "PL020", "PL033")
@@ -64,10 +68,29 @@ def custom_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [pipeline.custom(docs, *p) for p in parts])
 
 
+def code_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fixtures.code_files(spark, sf_dir)
+    return code.all_rules(docs, front_code.nodes(docs)).select("code", "path", "line")
+
+
+def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream that ends where they do, counted by hour and kind."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    name = "events_" + uuid.uuid4().hex
+    query = streams.counts(events).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name).select("start", "event_type", "n")
+
+
 def queries() -> dict:
     out = {NAMES[code]: (lambda spark, sf_dir, f=f: f(seeds.seeded(spark, sf_dir))) for code, f in prose.RULES.items()}
     full = lambda s, d: pipeline.with_catalog(findings(s, d))
     out |= {
+        "rules_code": code_rules,
+        "rules_design": lambda s, d: design.all_rules(style.declarations(fixtures.style_files(s, d))).select("code", "path", "line"),
+        "rules_provenance": lambda s, d: provenance.rules(images.metadata(fixtures.image_files(s, d))).select("code", "path", "line"),
+        "stream_event_counts": event_counts,
         "rule_015_hedge_stack": lambda s, d: prose.hedge_stack(seeds.seeded(s, d)),
         "rule_044_page_title": lambda s, d: prose.page_title(seeds.pages(s, d)),
         "rule_057_separators": lambda s, d: prose.separators(seeds.pages(s, d)),
@@ -105,4 +128,4 @@ def oracles() -> dict:
     sql = O.sql()
     out = {NAMES[code]: sql[code] for code in prose.RULES}
     out |= {"rule_015_hedge_stack": sql["stack"], "rule_044_page_title": sql["PL044"], "rule_057_separators": sql["PL057"]}
-    return out | O.others(sql)
+    return out | O.others(sql) | fixtures.oracles()

@@ -43,13 +43,15 @@ class Source:
 
 def lexed(text: str, lang: str) -> tuple[list[tuple], str]:
     """Comments and strings of a brace language, and the code with both blanked."""
-    src, rows, code, at = Source(text), [], [], 0
+    src, rows, code, at, depth = Source(text), [], [], 0, 0
     for m in _COMMENT_OR_STRING["rust" if lang == "rust" else "c"].finditer(text):
         said = m[0]
         comment = said.startswith(("//", "/*"))
         line, col = src.place(m.start())
         doc = comment and (said.startswith(("///", "//!", "/**")) or lang == "go" and bool(re.match(r"\n(?:func|type|package|var|const)\b", text[m.end() : m.end() + 9])))
-        rows.append(("comment" if comment else "string", "doc" if doc else "", line, col, said, comment and not doc and src.leads(m.start())))
+        if lang == "go":  # comments outside functions are told apart
+            depth += text[at : m.start()].count("{") - text[at : m.start()].count("}")
+        rows.append(("comment" if comment else "string", "doc" if doc else "top" if comment and lang == "go" and depth <= 0 else "", line, col, said, comment and not doc and src.leads(m.start())))
         code += [text[at : m.start()], re.sub(r"[^\n]", " ", said) if comment else said[0] + re.sub(r"[^\n]", "_", said[1:-1]) + said[-1:]]
         at = m.end()
     return rows, "".join([*code, text[at:]])
