@@ -93,7 +93,11 @@ def opener(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
 
 
 def contrast(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
-    return first_per_line(docs, "PL023", java(any_of(L.CONTRAST, natlangs)))
+    """A contrast, or two denials in a row from the start of a sentence; the leftmost on a line."""
+    found = first_per_line(docs, "PL023", java(any_of(L.CONTRAST, natlangs)))
+    if "en" in natlangs:
+        found = found.unionByName(first_per_line(docs, "PL023", java(f"{L.SENTENCE_START}({L.NEGATIVE_LISTING})"), tail_group=True))
+    return found.groupBy("code", "path", "line").agg(F.min("col").alias("col"))
 
 
 def puffery(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:

@@ -67,7 +67,6 @@ def sql() -> dict[str, str]:
         "PL012": line_rule("PL012", exact_re2(L.TOOL_TOKENS), ""),
         "PL013": line_rule("PL013", exact_re2(f"(?i:{L.TEMPLATE_BRACKET})|{L.TEMPLATE_CAPITALS}"), ""),
         "PL014": line_rule("PL014", both(L.CLICHE)),
-        "PL023": line_rule("PL023", both(L.CONTRAST)),
         "PL024": line_rule("PL024", both(L.PUFFERY)),
         "PL025": line_rule("PL025", both(L.WEASEL), unless=exact_re2(L.CITED)),
         "PL015": dense("PL015", R.any_of(L.HEDGING), 3),
@@ -76,6 +75,9 @@ def sql() -> dict[str, str]:
     }
     opener = exact_re2(f"{L.SENTENCE_START}({R.any_of(L.OPENERS)})")
     out["PL022"] = line_rule("PL022", opener, plus=f"length(regexp_extract(s, {q('(?i)' + opener)}, 0)) - length(regexp_extract(s, {q('(?i)' + opener)}, 1))")
+    denial = exact_re2(f"{L.SENTENCE_START}({L.NEGATIVE_LISTING})")
+    listed_ = line_rule("PL023", denial, plus=f"length(regexp_extract(s, {q('(?i)' + denial)}, 0)) - length(regexp_extract(s, {q('(?i)' + denial)}, 1))")
+    out["PL023"] = f"SELECT code, path, line, min(col) AS col FROM (SELECT * FROM ({line_rule('PL023', both(L.CONTRAST))}) UNION ALL SELECT * FROM ({listed_})) GROUP BY ALL"
     reveal = both(L.REVEAL)
     out["PL026"] = line_rule("PL026", reveal, "", plus=f"length(regexp_extract(regexp_extract(s, {q(reveal)}, 0), {q('^(?:[.!?]' + chr(92) + 's+|[ ' + chr(92) + 't]*)')}, 0))", where=f" AND NOT regexp_matches(s, {q(R.HEADING)})")
     strong, weak, either = exact_re2(L.VOCABULARY_STRONG), exact_re2(L.VOCABULARY_WEAK), exact_re2(f"(?:{L.VOCABULARY_STRONG}|{L.VOCABULARY_WEAK})")

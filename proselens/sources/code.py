@@ -20,7 +20,7 @@ _COMMENT_OR_STRING = {
     "rust": re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|r(#*)".*?"\1|"(?:\\.|[^"\\])*"|'(?:\\.[^']*|[^'\\])'""", re.S),
 }
 _NOT_IMPLEMENTED = re.compile(r"not.?implemented", re.I)
-INTENT = re.compile(r"intentional|ignore|expected|on purpose|best.?effort|no[- ]?op|swallow|deliberate", re.I)
+INTENT = re.compile("|".join(("best.?effort", "deliberate", "expected", "ignore", "intentional", "no[- ]?op", "on purpose", "swallow")), re.I)
 STDLIB_FIXES = {"left-pad": "padStart", "is-array": "Array.isArray", "object-assign": "Object.assign", "array-flatten": "flat", "node-fetch": "fetch", "uuid": "crypto.randomUUID", "rimraf": "fs.rm", "mkdirp": "fs.mkdir", "querystring": "URLSearchParams", "lodash.clonedeep": "structuredClone", "moment": "Intl.DateTimeFormat"}
 
 

@@ -19,11 +19,9 @@ def printable(data: bytes) -> str:
 
 def sniff(data: bytes) -> str | None:
     """The format by its first bytes, whatever the name says."""
-    if data[:8] == b"\x89PNG\r\n\x1a\n":
-        return "png"
-    if data[:3] == b"\xff\xd8\xff":
-        return "jpeg"
-    return "webp" if data[:4] == b"RIFF" and data[8:12] == b"WEBP" else None
+    if data.startswith(b"RIFF"):
+        return "webp" if data[8:12] == b"WEBP" else None
+    return next((kind for kind, first in (("jpeg", b"\xff\xd8\xff"), ("png", b"\x89PNG\r\n\x1a\n")) if data.startswith(first)), None)
 
 
 def png_chunks(data: bytes):

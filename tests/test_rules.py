@@ -21,6 +21,7 @@ CASES = [
     ("PL022", "It rained. Here's the thing: it stopped.", [1]),
     ("PL023", "It's not about size, it's about shape.", [1]),
     ("PL023", "It is not large.", []),
+    ("PL023", "Words. No fuss. No noise.", [1]),
     ("PL024", "This marks a turning point.", [1]),
     ("PL025", "Experts say so.\nExperts say so (Smith, 2019).", [1]),
     ("PL026", "The best part: it works.", [1]),
