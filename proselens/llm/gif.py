@@ -31,9 +31,6 @@ FRAME_ROWS = 1024
 WIDTH = 64
 
 
-# --- LZW -------------------------------------------------------------------------------------------------------------
-
-
 def _code_bits(min_size: int, n: int) -> np.ndarray:
     """Bits of each of `n` codes after a clear code, as a reader counts them: entry k is known once k + 1 codes are read."""
     free = (1 << min_size) + 2 + np.maximum(np.arange(n) - 1, 0)  # the width grows with the next free entry
@@ -162,9 +159,6 @@ def lzw_encode(samples: bytes, min_size: int = 8) -> bytes:
     return np.packbits(lit[np.arange(12) < width[:, None]], bitorder="little").tobytes()
 
 
-# --- files -----------------------------------------------------------------------------------------------------------
-
-
 @dataclass
 class Frame:
     left: int
