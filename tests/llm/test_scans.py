@@ -182,7 +182,7 @@ def test_redaction(spark):
     assert [r.text for r in secrets.redacted(df).orderBy("doc_id").collect()] == ["a [secret] b", None, "clean"]
 
 
-def test_licences_on_held_out_notices():
+def test_licences_on_fresh_variants():
     model, rng, right, n = licenses.default_model(), random.Random(77), 0, 0
     for family, notices in licenses.TEMPLATES.items():
         for notice in notices:
