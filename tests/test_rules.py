@@ -35,8 +35,10 @@ CASES = [
     ("PL036", "# Changelog\n\nThe key was renamed in May.", []),
     ("PL029", "Long text here about things.\n\nUltimately, that is all.", [3]),
     ("PL019", "- **A**: x\n- **B**: y\n- **C**: z and more words to keep bold rare " + "w " * 300, [1]),
-    ("PL021", "# The Long Road Home\n\n## A Second Great Idea\n\n## What We Learned Today", [1]),
-    ("PL021", "# The long road home\n\n## A second great idea\n\n## What we learned today", []),
+    ("PL021", "# The Long Road Home\n\nOne thing. And another thing.\n\n## A Second Great Idea\n\nOne thing. And another thing.\n\n## What We Learned Today\n\nOne thing. And another thing.", [1]),
+    ("PL021", "# The long road home\n\nOne thing. And another thing.\n\n## A second great idea\n\nOne thing. And another thing.\n\n## What we learned today\n\nOne thing. And another thing.", []),
+    ("PL021", "# Home\n\n## One\n\nShort.\n\n## Two\n\nShort.", [3]),
+    ("PL021", "# Home\n\n## One\n\nShort.\n\n## References\n\nShort.", []),
     ("PL034", "We check it and verify it, then check again and verify again.", [1]),
     ("PL034", "We check it and verify it once.", []),
 ]
