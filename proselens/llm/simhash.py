@@ -18,8 +18,11 @@ component unless the component has no other; an empty table gives none; columns
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
+from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -67,6 +70,11 @@ def fingerprint(text: str, words: int, parts: int = 1, repeats: bool = True) ->
     return out, len(set(grams))
 
 
+def set_digest(text: str, words: int) -> bytes:
+    """16 bytes of the set of the text's shingles."""
+    return hashlib.blake2b(b"\n".join(sorted(set(shingles(text, words)))), digest_size=16).digest()
+
+
 def mixed(h: np.ndarray, k: int) -> np.ndarray:
     """Another 64-bit hash of each: the finaliser of a well-known generator, seeded by k."""
     with np.errstate(over="ignore"):
@@ -76,8 +84,9 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, words: int = 3, parts: int = 1, id_col: str = "doc_id", repeats: bool = True) -> DataFrame:
-    """doc_id, fp (bytes, little-endian), size (distinct shingles) of every row."""
+def fingerprints(docs: DataFrame, words: int = 3, parts: int = 1, id_col: str = "doc_id", repeats: bool = True, whole: bool = False) -> DataFrame:
+    """doc_id, fp (bytes, little-endian), size (distinct shingles) of every row. With `whole`, fp is followed by 16 bytes
+    that tell different sets of shingles apart."""
 
     def rows(batches):
         import pyarrow as pa
@@ -86,7 +95,8 @@ def fingerprints(docs: DataFrame, words: int = 3, parts: int = 1, id_col: str =
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in tokens.in_bytes(texts, 1 << 22):
                 got = [fingerprint(t, words, parts, repeats) for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([f.astype("<u8").tobytes() for f, _ in got], pa.binary()), pa.array([n for _, n in got], pa.int64())], names=["doc_id", "fp", "size"])
+                cells = [f.astype("<u8").tobytes() + (set_digest(t, words) if whole else b"") for (f, _), t in zip(got, texts[a:b])]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(cells, pa.binary()), pa.array([n for _, n in got], pa.int64())], names=["doc_id", "fp", "size"])
 
     return shared.id_text(docs, id_col).mapInArrow(rows, "doc_id long, fp binary, size long")
 
@@ -110,9 +120,8 @@ def offsets(lanes: int, radius: int) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def _near(home: np.ndarray, guest: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _near_by_tile(home: np.ndarray, guest: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of rows that differ in `radius` bits at most, tile by tile."""
-    found_a, found_b = [], []
     step_a, step_b = 512, 2048
     parts = home.shape[1]
     for a in range(0, len(home), step_a):
@@ -124,19 +133,25 @@ def _near(home: np.ndarray, guest: np.ndarray, radius: int) -> tuple[np.ndarray,
                 for k in range(1, parts):
                     apart = apart + np.bitwise_count(x[:, None, k] ^ y[None, :, k])
                 i, j = np.nonzero(apart <= radius)
-            else:  # most pairs are beyond the radius by two parts already
-                apart = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]) + np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])
+            else:  # most pairs are beyond the radius by three parts already
+                apart = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
+                for k in range(1, 3):
+                    apart += np.bitwise_count(x[:, None, k] ^ y[None, :, k])
                 i, j = np.nonzero(apart <= radius)
                 rest = apart[i, j].astype(np.int64)
-                for k in range(2, parts):
+                for k in range(3, parts):
                     rest += np.bitwise_count(x[i, k] ^ y[j, k])
                 i, j = i[rest <= radius], j[rest <= radius]
             if len(i):
-                found_a.append(i + a)
-                found_b.append(j + b)
-    if not found_a:
+                yield i + a, j + b
+
+
+def _near(home: np.ndarray, guest: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs of `_near_by_tile`."""
+    found = [*_near_by_tile(home, guest, radius)]
+    if not found:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(found_a), np.concatenate(found_b)
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -159,11 +174,12 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def links(classes: DataFrame, n: int, radius: int, parts: int = 1, similarity: float | None = None) -> DataFrame:
-    """Links (a, b) between the fingerprints of `classes` (fp, size; distinct) that keep all components."""
+    """Links (a, b) between the fingerprints of `classes` (fp, size; distinct) that keep all components. With `similarity`
+    the fingerprints are followed by 8 bytes, the class's number, and all pairs (a, b) of numbers are given, a < b."""
     spark = classes.sparkSession
     lanes = 4 if n < FINER or parts > 1 else 8
     moves = offsets(lanes, radius) if similarity is None else None
-    width = 8 * parts
+    words = parts if similarity is None else parts + 1
     weight = np.array([33 ** k for k in range(lanes)], dtype=np.int64)
 
     def spread(batches):
@@ -174,7 +190,7 @@ def links(classes: DataFrame, n: int, radius: int, parts: int = 1, similarity: f
             raw = batch.column(0).to_pylist()
             if not raw:
                 continue
-            fp = np.frombuffer(b"".join(raw), "<u8").reshape(-1, parts)
+            fp = np.frombuffer(b"".join(raw), "<u8").reshape(-1, words)
             blocks = tile_blocks.value
             home_block = mixed(fp[:, 0], 77)
             if similarity is None:
@@ -212,22 +228,29 @@ def links(classes: DataFrame, n: int, radius: int, parts: int = 1, similarity: f
     def compare(batches):
         import pyarrow as pa
 
-        key, home, waiting = None, np.zeros((0, parts), dtype=np.uint64), []
+        key, home = None, np.zeros((0, words), dtype=np.uint64)
         for batch in batches:
             tile, block, guest = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            fp = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(-1, parts)
+            fp = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(-1, words)
             cuts = np.flatnonzero((np.diff(tile) != 0) | (np.diff(block) != 0)) + 1
             a_out, b_out = [], []
             for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(tile)]):
                 if s == e:
                     continue
                 if (tile[s], block[s]) != key:
-                    key, waiting, home = (tile[s], block[s]), [], np.zeros((0, parts), dtype=np.uint64)
+                    key, home = (tile[s], block[s]), np.zeros((0, words), dtype=np.uint64)
                 split = s + int(np.searchsorted(guest[s:e], True))
                 if split > s:
                     home = np.concatenate([home, fp[s:split]])
                 guests = fp[split:e]
-                if len(guests):
+                if similarity is not None:
+                    numbers = [m[:, parts].byteswap().astype(np.int64) for m in (home, guests)]
+                    for i, j in _near_by_tile(home[:, :parts], guests[:, :parts], radius):
+                        x, y = numbers[0][i], numbers[1][j]
+                        other = x != y
+                        if other.any():
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[other]), pa.array(np.maximum(x, y)[other])], names=["a", "b"])
+                elif len(guests):
                     i, j = _near(home, guests, radius)
                     if len(i):
                         nodes, back = np.unique(np.concatenate([home[i], guests[j]]), axis=0, return_inverse=True)
@@ -255,7 +278,7 @@ def links(classes: DataFrame, n: int, radius: int, parts: int = 1, similarity: f
     tile_blocks = spark.sparkContext.broadcast({r.tile: max(1, -(-r.n // BLOCK)) for r in per_tile.collect()})
     placed = classes.select("fp", "size").mapInArrow(spread, "tile long, block long, guest boolean, fp binary")
     sorted_ = placed.repartition(max(shared.partitions(spark), 1), "tile", "block").sortWithinPartitions("tile", "block", "guest")
-    return sorted_.mapInArrow(compare, "a binary, b binary").distinct()
+    return sorted_.mapInArrow(compare, "a binary, b binary" if similarity is None else "a long, b long").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -284,12 +307,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 HOT_SHARE = 1e-3
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, parts: int = 1, similarity: float | None = None, id_col: str = "doc_id", repeats: bool = True) -> DataFrame:
-    """Per row: doc_id, fp (bytes), size, component_id (the least doc_id that its links reach)."""
-    prints = shared.written(fingerprints(docs, words, parts, id_col, repeats), "prints")
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, parts: int = 1, id_col: str = "doc_id") -> DataFrame:
+    """Per row: doc_id, fp (bytes), size, component_id (the least doc_id that its links reach). A link is a radius."""
+    prints = shared.written(fingerprints(docs, words, parts, id_col), "prints")
     classes = shared.written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n")), "classes")
     n, rows = classes.agg(F.count(F.lit(1)), F.sum("n")).first()
-    linked = components(links(classes.select("fp", "size"), n, radius, parts, similarity))
+    linked = components(links(classes.select("fp", "size"), n, radius, parts))
     of_root = classes.join(linked, classes["fp"] == linked["node"], "left").select(classes["fp"], "rep", "n", F.coalesce("root", "fp").alias("root"))
     named = shared.written(of_root.join(of_root.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id", "n"), "named")
     # a fingerprint with a large share of all rows would be one task's; those few are sent to every task instead
@@ -302,19 +325,52 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, parts: int
 
 #: For texts that share 0.8 of their distinct five-word shingles, two 256-bit fingerprints differ in 39 bits on average
 #: (the angle between the sets), give or take 6; for half of them in 69; for none in 128. Each shingle votes once, as sets
-#: have it. At 56 bits one pair in a thousand at 0.8 is missed.
+#: have it. The radius only finds candidates: every pair is then held against the shingles themselves.
 SIMILAR = {"words": 5, "parts": 4, "radius": 56, "similarity": 0.8, "repeats": False}
 
 
+def jaccard_links(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of `pairs` (a, b) whose texts in `texts` (r, text) have a Jaccard similarity of `similarity` at least, over
+    their sets of distinct shingles."""
+    least = Fraction(str(similarity))
+
+    def true(batches):
+        import pyarrow as pa
+
+        last, x = None, frozenset()
+        for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = []
+            for k, (i, j) in enumerate(zip(a, b)):
+                if i != last:
+                    last, x = i, frozenset(shingles(batch.column(2)[k].as_py(), words))
+                y = frozenset(shingles(batch.column(3)[k].as_py(), words))
+                both = len(x & y)
+                if both * least.denominator >= (len(x) + len(y) - both) * least.numerator:
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], names=["a", "b"])
+
+    first, second = texts.select(F.col("r").alias("a"), F.col("text").alias("x")), texts.select(F.col("r").alias("b"), F.col("text").alias("y"))
+    return pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(true, "a long, b long")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """`docs` (with columns doc_id and text) without near-duplicates: of each group the row of least doc_id stays, as it
-    is; rows without a doc_id come last, and rows that tie are told apart by their place in the input."""
+    is; rows without a doc_id come last, and rows that tie are told apart by their place in the input. Rows with one set of
+    shingles are one class, whose number is its least row; classes are linked where the sets' similarity is high enough."""
     row = shared.free_name(docs, "row")
+    words, parts, radius, similarity = (SIMILAR[k] for k in ("words", "parts", "radius", "similarity"))
     fixed = shared.written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    groups = near_duplicates(fixed, id_col=row, **SIMILAR).select(F.col("doc_id").alias("r"), F.col("component_id").alias("g"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("r"))).alias("first")
+    texts = shared.id_text(fixed, row).withColumnRenamed("doc_id", "r")
+    prints = fingerprints(fixed, words, parts, row, SIMILAR["repeats"], whole=True).withColumnRenamed("doc_id", "r")
     ids = fixed.select(F.col(row).alias("r"), "doc_id")
-    stays = groups.join(ids, "r").groupBy("g").agg(first).select(F.col("first.r").alias(row))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("r"))).alias("first")
+    classes = shared.written(prints.join(ids, "r").groupBy("fp").agg(F.min("r").alias("r"), F.max("size").alias("size"), first), "classes")
+    named = classes.select(F.concat(F.substring("fp", 1, 8 * parts), F.unhex(F.lpad(F.hex("r"), 16, "0"))).alias("fp"), "size")
+    near = links(named, classes.count(), radius, parts, similarity)
+    linked = components(jaccard_links(shared.written(near, "candidates"), texts, words, similarity))
+    group = F.coalesce("root", "r").alias("g")
+    stays = classes.join(linked, classes["r"] == linked["node"], "left").select(group, "first").groupBy("g").agg(F.min("first").alias("first")).select(F.col("first.r").alias(row))
     return fixed.join(stays, row, "left_semi").drop(row)
 
 

@@ -290,3 +290,26 @@ def test_pipeline_stages_by_brute_force(spark, tmp_path):
         docs = after
     run = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in run} == set(kept) and max(r.offset + r.length for r in run) <= packing.CAPACITY
+
+
+def _short_of(rng, n):
+    return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+
+def _jaccard(a, b):
+    x, y = set(simhash.shingles(a, 5)), set(simhash.shingles(b, 5))
+    return len(x & y) / len(x | y)
+
+
+def test_candidates_under_the_similarity_stay(spark):
+    rng, rows = random.Random(11), []
+    for k in range(30):  # 0.65 to 0.75: within the radius for most
+        a = _short_of(rng, 400)
+        b = list(a)
+        while _jaccard(" ".join(a), " ".join(b)) > 0.75:
+            b[rng.randrange(400)] = "new"
+        assert _jaccard(" ".join(a), " ".join(b)) > 0.65
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    rows += [(100, "the same six words of text"), (101, "the same six words of text"), (102, "")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.doc_id for r in got) == [*range(60), 100, 102]
