@@ -313,3 +313,34 @@ def test_candidates_under_the_similarity_stay(spark):
     rows += [(100, "the same six words of text"), (101, "the same six words of text"), (102, "")]
     got = simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(r.doc_id for r in got) == [*range(60), 100, 102]
+
+
+def test_short_pairs_at_the_similarity_are_linked(spark):
+    rng, rows = random.Random(12), []
+    for k in range(600):  # from four of five shingles shared, to 60 words
+        n = 8 if k < 300 else rng.randrange(8, 60)
+        a = _short_of(rng, n)
+        b = [*a, "new"]
+        while _jaccard(" ".join(a), " ".join([*b, f"new{len(b)}"])) >= 0.8:
+            b.append(f"new{len(b)}")
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    got = simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.doc_id for r in got) == [*range(0, 1200, 2)]
+
+
+def test_one_of_each_by_all_pairs(spark):
+    rng, rows = random.Random(13), []
+    for k in range(40):
+        base = _short_of(rng, rng.choice([5, 6, 9, 14, 30, 69, 80, 150]))
+        for j in range(4):
+            rows.append((4 * k + j, " ".join(base)))
+            for _ in range(rng.randrange(3)):
+                base[rng.choice([0, -1, rng.randrange(len(base))])] = f"n{rng.randrange(9)}"
+    root = {d: d for d, _ in rows}
+    for d, t in rows:
+        for e, u in rows:
+            if d < e and _jaccard(t, u) >= 0.8 and root[d] != root[e]:
+                low, high = sorted((root[d], root[e]))
+                root = {x: low if r == high else r for x, r in root.items()}
+    got = simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(root.values()))
