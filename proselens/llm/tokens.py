@@ -11,6 +11,8 @@ import re
 import struct
 from collections.abc import Iterable
 
+import numpy as np
+
 #: Pieces that a worker keeps in each of its two generations: some 160 bytes each.
 CACHE_PIECES = 600_000
 _TIGHT = re.compile(r"[^\S \n]|\x01")
@@ -52,10 +54,10 @@ class _Pieces(dict):
 
 
 class PieceEncoder:
-    """Encodes texts to little-endian uint32 bytes with tokenizers' file at `path`, without special tokens.
+    """Encodes texts to little-endian uint32 bytes with tokenizers' file at `path`; no special tokens are added.
 
     A piece that isn't known is split by the file's own pattern, and each part that isn't known either goes through
-    the library's merge model.
+    the library's merge model. A text that holds one of the file's added tokens goes through the library as a whole.
     """
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
@@ -63,7 +65,10 @@ class PieceEncoder:
         import regex
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        added = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.findall = regex.compile(public_tokenizers.PATTERN).findall
         self.cache_pieces = cache_pieces
         self.young = _Pieces()
@@ -84,6 +89,9 @@ class PieceEncoder:
             self.young.older = older
         out = []
         for text in texts:
+            if self.added(text):
+                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
+                continue
             pieces = cut(text)
             try:
                 out.append(b"".join(map(self.young.__getitem__, pieces)))

@@ -44,6 +44,16 @@ def test_cache_generations_do_not_change_ids():
     assert [np.frombuffer(small.encode([t])[0], "<u4").tolist() for t in texts] == [want(t) for t in texts]
 
 
+def test_added_tokens_are_the_library_ids(spark):
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["first part.<|endoftext|>second part", "<|endoftext|>", " <|endoftext|> \n<|endoftext|><|endoftext|>x", "no <|endoftext| >", "<|endoftext|"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [11085, 636, 13, 50256, 12227, 636]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(P.path("byte_bpe_50k.json")).encode(texts)] == want
+    rows = packing.pack_documents(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], SCHEMA), queries.JSON).collect()
+    assert {r.doc_id: r.doc_tokens for r in rows} == {k: len(w) + 1 for k, w in enumerate(want)}
+
+
 def test_bpe_is_tiktoken():
     coder = bpe.of(P.path("byte_bpe_50k.tiktoken"))
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
