@@ -1,6 +1,7 @@
 """License scans: a trained paragraph classifier with an unknown class, confirmed by templates.
 
-A paragraph is a line. Its features are word one- and two-grams out of a vocabulary taken from the training paragraphs,
+A paragraph is a line, or lines of a block without blank ones: up to `WINDOW` of them in a row, or the whole block. Of
+paragraphs that share lines, that which shares most with a template counts, less a little for every further line. Features are word one- and two-grams out of a vocabulary taken from the training paragraphs,
 so a paragraph is a sparse vector. Multinomial logistic regression over the families and `unknown` is trained here, from
 notices of each family varied at random and from paragraphs that aren't notices; its scale is then calibrated on held-out
 paragraphs. A paragraph is a notice where its family's probability is high enough and a template of the family shares
@@ -28,6 +29,8 @@ from proselens.llm import shared, tokens
 UNKNOWN = "unknown"
 #: Probability of the family, and share of a template's word pairs, from which a paragraph counts as a notice.
 LEAST_PROBABILITY, LEAST_SHARED = 0.5, 0.5
+#: Lines of a block that may make a paragraph, and what each after the first must add to the share of a template.
+WINDOW, PER_LINE = 8, 0.05
 #: Paragraphs of the corpus that may be added as unknown ones in training, at most.
 SAMPLE = 3000
 _WORD = re.compile(r"[a-z]+(?:-[a-z]+)*|\d+(?:\.\d+)*")
@@ -115,7 +118,10 @@ class Model:
 
     def notice(self, paragraph: str, shortcut: bool = True) -> tuple[str, float, float] | None:
         """(family, probability, shared) of a paragraph that is a notice."""
-        found = words(paragraph)
+        return self.judged(words(paragraph), shortcut)
+
+    def judged(self, found: list[str], shortcut: bool = True) -> tuple[str, float, float] | None:
+        """As `notice`, of the paragraph's words."""
         if shortcut and self.telling.isdisjoint(found):
             return None
         p = self.probabilities(found)
@@ -191,13 +197,37 @@ def default_model() -> Model:
 NOTICE = "struct<paragraph:int,start:int,end:int,family:string,probability:double,shared:double>"
 
 
+def _paragraphs(found: list[list[str]], told: list[bool]) -> list[tuple[int, int]]:
+    """Ranges of a block's lines that may be a notice: they begin and end with a telling line. Marks of comments are no
+    words, so they need no removal."""
+    at = [k for k, t in enumerate(told) if t]
+    out = [(a, b + 1) for k, a in enumerate(at) for b in at[k : k + WINDOW] if b < a + WINDOW]
+    return [*out, (at[0], at[-1] + 1)] if at and at[-1] - at[0] >= WINDOW else out
+
+
 def notices(text: str, model: Model) -> list[dict]:
-    out, at = [], 0
-    for k, line in enumerate(text.split("\n")):
-        if line and (got := model.notice(line)):
-            out.append({"paragraph": k, "start": at, "end": at + len(line), "family": got[0], "probability": round(got[1], 6), "shared": round(got[2], 6)})
+    lines = text.split("\n")
+    starts, at = [], 0
+    for line in lines:
+        starts.append(at)
         at += len(line) + 1
-    return out
+    found = [words(line) for line in lines]
+    told = [not model.telling.isdisjoint(w) for w in found]
+    if not any(told):
+        return []
+    out, first = [], 0
+    for last in [*(k for k, line in enumerate(lines) if not line.strip()), len(lines)]:
+        ranked = []
+        for a, b in _paragraphs(found[first:last], told[first:last]):
+            if got := model.judged([w for f in found[first + a : first + b] for w in f]):
+                ranked.append((got[2] - PER_LINE * min(b - a - 1, WINDOW), -(b - a), -a, first + a, first + b, got))
+        used: set[int] = set()
+        for *_, a, b, got in sorted(ranked, key=lambda r: r[:3], reverse=True):
+            if used.isdisjoint(range(a, b)):
+                used.update(range(a, b))
+                out.append({"paragraph": a, "start": starts[a], "end": starts[b - 1] + len(lines[b - 1]), "family": got[0], "probability": round(got[1], 6), "shared": round(got[2], 6)})
+        first = last + 1
+    return sorted(out, key=lambda n: n["start"])
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -204,6 +204,23 @@ def test_op4_shortcut_changes_nothing(spark, tmp_path):
             assert model.notice(line) == model.notice(line, shortcut=False)
 
 
+WRAPPED = {
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the\n\"Software\"), to deal in the Software without restriction,",
+}
+
+
+@pytest.mark.parametrize("family", list(WRAPPED))
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_wrapped_notices(family, mark):
+    head = "".join(mark + line + "\n" for line in WRAPPED[family].split("\n"))
+    plain = "".join(f"{mark}Some line of ordinary words, number {k}.\n" for k in range(20))
+    for text in (head, plain + "\n" + head + "\n" + plain, plain + head + plain):
+        assert [n["family"] for n in licenses.notices(text, licenses.default_model())] == [family], text
+
+
 def test_op6_finds_labelled_quality(spark):
     found = queries.op6_quality(spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
