@@ -39,6 +39,7 @@ def _code_bits(min_size: int, n: int) -> np.ndarray:
 
 _bits_kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _SPAN = MOST_CODES + 512
+_FULL_WIDTH, _FULL_STARTS = np.full(_SPAN, 12), 12 * np.arange(_SPAN + 1)
 
 
 def _bits(min_size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,31 +90,37 @@ def _expand(codes: np.ndarray, min_size: int) -> np.ndarray:
 
 
 def lzw_decode(data: bytes, min_size: int, most: int) -> np.ndarray:
-    """Up to `most` samples of a code stream."""
+    """Up to `most` samples of a code stream. A full table that isn't cleared stays as it is: its codes of 12 bits are read
+    in windows, each expanded behind the codes that made the table."""
     if not 1 <= min_size <= 11:
         raise ValueError("code size out of range")
     clear, end = 1 << min_size, (1 << min_size) + 1
     width, starts = _bits(min_size)
     padded = np.frombuffer(data + b"\0\0\0\0", dtype=np.uint8)
     bits, at, parts, have = 8 * len(data), 0, [], 0
+    full, behind = np.zeros(0, dtype=np.int64), 0  # the codes that made a table that is full, and their samples
     while have < most:
-        n = int(np.searchsorted(starts, bits - at, side="right")) - 1
-        n = min(n, _SPAN)
+        begins, wide = (_FULL_STARTS, _FULL_WIDTH) if len(full) else (starts, width)
+        n = min(int(np.searchsorted(begins, bits - at, side="right")) - 1, _SPAN)
         if n <= 0:
             break
-        codes = _read_codes(padded, at + starts[:n], width[:n])
+        codes = _read_codes(padded, at + begins[:n], wide[:n])
         stops = np.flatnonzero((codes == clear) | (codes == end))
         run = codes[: stops[0]] if len(stops) else codes
         if len(run):
             if (run >= MOST_CODES).any():
                 raise ValueError("a code that isn't known yet")
-            parts.append(_expand(run, min_size))
+            parts.append(_expand(np.concatenate([full, run]), min_size)[behind:])
             have += len(parts[-1])
         if not len(stops):
-            if n == _SPAN:
-                raise ValueError("a full table isn't cleared")
-            break
-        at += int(starts[stops[0] + 1])
+            if n < _SPAN:
+                break
+            at += int(begins[n])
+            if not len(full):
+                full, behind = run, len(parts[-1])
+            continue
+        at += int(begins[stops[0] + 1])
+        full, behind = full[:0], 0
         if codes[stops[0]] == end:
             break
     out = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint8)

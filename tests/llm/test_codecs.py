@@ -210,6 +210,40 @@ def test_lzw_against_a_plain_decoder():
             assert _reference_lzw(stream, 8, n) == data == gif.lzw_decode(stream, 8, n).tobytes()
 
 
+def _deferred_lzw(data, size=8, clear_at=None):
+    """A stream whose full table is kept; with `clear_at`, it is cleared after so many codes."""
+    clear, out, n = 1 << size, [(1 << size, size + 1)], 0
+    table, width, held = {bytes([i]): i for i in range(clear)}, size + 1, b""
+    for c in data:
+        if held + bytes([c]) in table:
+            held += bytes([c])
+            continue
+        out.append((table[held], width))
+        n += 1
+        if len(table) + 2 < 4096:
+            table[held + bytes([c])] = len(table) + 2
+            width = min(12, max(width, (len(table) + 1).bit_length()))
+        held = bytes([c])
+        if n == clear_at:
+            out += [(table[held], width), (clear, width)]
+            table, width, held = {bytes([i]): i for i in range(clear)}, size + 1, b""
+    out += [(table[held], width)] * bool(held) + [(clear + 1, width)]
+    value, at = 0, 0
+    for code, w in out:
+        value |= code << at
+        at += w
+    return value.to_bytes(-(-at // 8), "little")
+
+
+def test_lzw_with_a_deferred_clear():
+    data = np.random.default_rng(1).integers(0, 256, 30_000, dtype=np.uint8).tobytes()
+    for clear_at in (None, 4608, 9000):
+        stream = _deferred_lzw(data, clear_at=clear_at)
+        assert _reference_lzw(stream, 8, len(data)) == data
+        assert gif.lzw_decode(stream, 8, len(data)).tobytes() == data
+        assert gif.lzw_decode(stream, 8, 20_000).tobytes() == data[:20_000]
+
+
 def test_gif_frames():
     red_green = bytes([255, 0, 0, 0, 255, 0] + [0] * 762)
     a, b = np.zeros((2, 2), np.uint8), np.array([[1, 0], [0, 1]], np.uint8)
