@@ -74,10 +74,11 @@ class PerfectHash:
         return ((h & 0xFFFFFFFF) + d * ((h >> 32) & 0xFFFFFFFF)) % PRIME % self.n
 
 
-class Bpe:
+class Bpe(tokens.Pieces):
     """Encoder and decoder for the ranks of a `.tiktoken` file: lines of base64 bytes and a rank."""
 
     def __init__(self, path: str, pattern: str = PATTERN, cache_pieces: int = tokens.CACHE_PIECES):
+        super().__init__(cache_pieces)
         with open(path, "rb") as lines:
             pairs = [line.split() for line in lines if line.strip()]
         self.vocabulary = [(base64.b64decode(a), int(b)) for a, b in pairs]
@@ -91,10 +92,14 @@ class Bpe:
         for a, b in self.vocabulary:
             self.slots[self.hash.slot(a)] = (a, b)
         self.findall = regex.compile(pattern).findall
-        self.cache_pieces = cache_pieces
-        self.young = tokens._Pieces()
+        sizes = np.zeros(max(self.bytes_of) + 1, dtype=np.int64)
+        for a, b in self.vocabulary:
+            sizes[b] = len(a)
+        #: Every entry's bytes, in the order of ids, and where they begin.
+        self.sizes, self.begins = sizes, np.cumsum(sizes) - sizes
+        self.letters = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(sizes))), np.uint8)
 
-    def whole(self, piece: bytes) -> int:
+    def found(self, piece: bytes) -> int:
         """The piece's id where it is in the vocabulary as it stands, else -1."""
         key, rank = self.slots[self.hash.slot(piece)]
         return rank if key == piece else -1
@@ -125,34 +130,41 @@ class Bpe:
                 push(heap, (x, h))
         return [p for p in part if p >= 0]
 
-    def _part(self, part: str) -> bytes:
-        """Ids of one pre-token."""
-        known = self.young.get(part) or self.young.older.get(part)
-        if known is None:
-            piece = part.encode("utf-8", "surrogatepass")
-            rank = self.whole(piece)
-            got = [rank] if rank >= 0 else self.merged(piece)
-            known = self.young[part] = struct.pack(f"<{len(got)}I", *got)
-        return known
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian uint32."""
-        if len(self.young) > self.cache_pieces:
-            older, self.young = self.young, tokens._Pieces()
-            older.older = {}
-            self.young.older = older
-        pieces = tokens.cut(text)
-        try:
-            return b"".join(map(self.young.__getitem__, pieces))
-        except KeyError:
-            young, older = self.young, self.young.older
-            for piece in pieces:
-                if piece not in young and piece not in older:
-                    young[piece] = b"".join([self._part(x) for x in tokens.parts(piece, self.findall)])
-            return b"".join(map(young.__getitem__, pieces))
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def distinct(self, pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts_known: dict[str, list[int]] = {}
+        out, counts = [], []
+        for piece in pieces.to_pylist():
+            n = len(out)
+            for part in parts(piece.decode(), self.findall):
+                ids = parts_known.get(part)
+                if ids is None:
+                    raw = part.encode()
+                    rank = self.found(raw)
+                    ids = parts_known[part] = [rank] if rank >= 0 else self.merged(raw)
+                out += ids
+            counts.append(len(out) - n)
+        n = np.array(counts, dtype=np.int64)
+        return np.array(out, dtype=np.uint32), np.cumsum(n) - n, n
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids in a row, and the bounds of each text's."""
+        size = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = self.letters[np.repeat(self.begins[ids] - ends[:-1], size) + np.arange(int(ends[-1]))]
+        return data, ends[bounds]
+
+
+#: Marks that may follow a word in a piece; with more than one kind of them in a row they are still one pre-token.
+_MARKS = ".,;:!?%#&$*|()-"
+
+
+def parts(piece: str, findall) -> list[str]:
+    """The piece's pre-tokens. Letters after at most one space, with or without marks after them, need no pattern:
+    `isalpha` is true of letters only, as \\p{L} is."""
+    word = piece.rstrip(_MARKS)
+    if (word[1:] if word[:1] == " " else word).isalpha():
+        return [piece] if len(word) == len(piece) else [word, piece[len(word) :]]
+    return findall(piece)
 
 
 _made: dict[tuple[str, str], Bpe] = {}
@@ -173,9 +185,11 @@ def encoded(docs: DataFrame, ranks: str, pattern: str = PATTERN) -> DataFrame:
 
         coder = of(ranks, pattern)
         for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in tokens.in_bytes(texts, 1 << 21):
-                ids = [coder.encode(t) for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([coder.decode(x) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            doc_ids, texts = batch.column(0), batch.column(1)
+            for a, b in tokens.slices(texts):
+                ids, bounds = coder.encode(texts.slice(a, b - a))
+                data, ends = coder.decode(ids, bounds)
+                cells = [tokens.binaries(x, e) for x, e in ((ids.astype("<u4").view(np.uint8), 4 * bounds), (data, ends))]
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), pa.array(np.diff(bounds)), *cells], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return shared.id_text(docs).mapInArrow(rows, SCHEMA)

@@ -82,27 +82,29 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Run]
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = 0) -> DataFrame:
     """Pieces of every document's ids, as a table of the shared folder."""
-    tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def pieces(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        task, ranks, encode = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64), tokens.encoder(tokenizer).encode
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("task", pa.int32()), ("task_rank", pa.int64())])
+        task, ranks, coder = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64), tokens.encoder(tokenizer)
+        names = [x.split(" ")[0] for x in CUT_SCHEMA.split(", ")]
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            lengths = texts.to_pylist() if batch.num_rows else []
-            for a, b in tokens.in_bytes(lengths, 1 << 21):
-                rows = []
-                for doc, got in zip(ids.slice(a, b - a).to_pylist(), encode(lengths[a:b])):
-                    got += tail
-                    total = len(got) // 4
-                    for start in range(0, total, capacity):
-                        length = min(capacity, total - start)
-                        rows.append((doc, start, length, got[4 * start : 4 * (start + length)], total, task, int(ranks[length])))
-                        ranks[length] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], type=f.type) for f in schema], schema=schema)
+            for a, b in tokens.slices(texts):
+                got, bounds = tokens.with_end(*coder.encode(texts.slice(a, b - a)), end_id)
+                total = np.diff(bounds)
+                n = -(-total // capacity)  # pieces of each document
+                doc = np.repeat(np.arange(b - a), n)
+                start = capacity * (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n))
+                length = np.minimum(capacity, total[doc] - start)
+                order = np.argsort(length, kind="stable")
+                sizes, first, count = np.unique(length[order], return_index=True, return_counts=True)
+                rank = np.empty(len(doc), dtype=np.int64)
+                rank[order] = np.arange(len(doc)) + np.repeat(ranks[sizes] - first, count)
+                ranks[sizes] += count
+                cells = tokens.binaries(got.astype("<u4").view(np.uint8), 4 * np.concatenate([bounds[doc] + start, bounds[-1:]]))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + doc)), pa.array(start), pa.array(length), cells, pa.array(total[doc]), pa.array(np.full(len(doc), task, dtype=np.int32)), pa.array(rank)], names=names)
 
     return shared.written(shared.id_text(docs).mapInArrow(pieces, CUT_SCHEMA), "pieces")
 

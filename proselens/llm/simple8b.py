@@ -164,11 +164,16 @@ class Writer:
 
     def __init__(self, sink):
         self.sink, self.held, self.n_held, self.n, self.words = sink, [], 0, 0, 0
-        self.starts, self.docs = [], []
+        self.starts, self.docs, self.n_docs = [], [], 0
         sink.write(MAGIC)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id or 0, doc_id is None, len(ids)))
+        self.add_all(np.array([doc_id or 0]), np.array([doc_id is None]), np.array([len(ids)]), ids)
+
+    def add_all(self, doc_ids: np.ndarray, null: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """The `ids` of several documents in a row."""
+        self.docs.append(np.stack([doc_ids, null, lengths], axis=1).astype(np.int64))
+        self.n_docs += len(doc_ids)
         self.held.append(ids)
         self.n_held += len(ids)
         if self.n_held >= self.GROUP:
@@ -187,7 +192,7 @@ class Writer:
     def close(self) -> None:
         self._flush(self.n_held)
         starts = np.concatenate(self.starts) if self.starts else np.zeros(0, dtype="<u8")
-        docs = np.array(self.docs, dtype=np.int64).reshape(-1, 3)
+        docs = np.concatenate(self.docs) if self.docs else np.zeros((0, 3), dtype=np.int64)
         self.sink.write(starts.astype("<u8").tobytes() + docs[:, 0].astype("<i8").tobytes() + docs[:, 1].astype("<u8").tobytes() + docs[:, 2].astype("<u8").tobytes())
         self.sink.write(struct.pack("<QQQQ", self.words, len(starts), len(docs), self.n) + MAGIC)
 
@@ -241,7 +246,6 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int | None = 0, folder: s
     """Write the ids of all texts in ascending doc_id order; returns the manifest: part, file, n_docs, n_ids, words."""
     spark = docs.sparkSession
     folder = folder or shared.new_path(spark, "ids")
-    tail = [] if end_id is None else [end_id]
 
     def files(batches):
         import uuid
@@ -252,22 +256,23 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int | None = 0, folder: s
 
         part = TaskContext.get().partitionId()
         where, root = fs.FileSystem.from_uri(folder)
-        encode, writer, out, temp = tokens.encoder(tokenizer).encode, None, None, f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
+        coder, writer, out, temp = tokens.encoder(tokenizer), None, None, f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in tokens.in_bytes(texts, 1 << 21):
-                for doc, got in zip(ids[a:b], encode(texts[a:b])):
-                    if writer is None:
-                        where.create_dir(root, recursive=True)
-                        out = where.open_output_stream(temp)
-                        writer = Writer(out)
-                    writer.add(doc, np.concatenate([np.frombuffer(got, "<u4"), np.array(tail, dtype="<u4")]).astype(np.uint64))
+            ids, texts = batch.column(0), batch.column(1)
+            for a, b in tokens.slices(texts):
+                if writer is None:
+                    where.create_dir(root, recursive=True)
+                    out = where.open_output_stream(temp)
+                    writer = Writer(out)
+                got, bounds = tokens.with_end(*coder.encode(texts.slice(a, b - a)), end_id)
+                own = ids.slice(a, b - a)
+                writer.add_all(own.fill_null(0).to_numpy(), own.is_null().to_numpy(zero_copy_only=False), np.diff(bounds), got)
         if writer is not None:
             writer.close()
             out.close()
             name = f"part-{part:06d}.s8b"
             where.move(temp, f"{root}/{name}")
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"{folder}/{name}"], "n_docs": [len(writer.docs)], "n_ids": [writer.n], "words": [writer.words]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"{folder}/{name}"], "n_docs": [writer.n_docs], "n_ids": [writer.n], "words": [writer.words]})
 
     ordered = shared.id_text(docs).repartitionByRange(shared.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     return shared.written(ordered.mapInArrow(files, "part int, file string, n_docs long, n_ids long, words long"), "manifest")
