@@ -1,9 +1,9 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and sentences. DataFrame functions only.
 
 Sections end at a blank line, paragraphs at a line's end, and a paragraph's leaves at a sentence's end; every part keeps
-its terminator, so the parts joined are the text. A leaf is hashed with XXH64, a paragraph's node from its leaves, a
-section's from its paragraphs, and the root (SHA-256) from the sections and the number of code points: roots test
-equality, and two trees are walked from the root down to the branches that differ.
+its terminator, so the parts joined are the text. A leaf is hashed with XXH64, a paragraph's node from its leaves', a
+section's from its paragraphs' nodes, and the root (SHA-256) from the sections' nodes and the number of code points: roots
+test equality, and two trees are walked from the root down by nodes alone to the paragraphs that differ.
 
 The likeness of two fingerprints is Dice's measure over their sets of leaves: 1 where the trees are equal, 0 where they
 share no leaf.
@@ -29,27 +29,26 @@ def _parts(text: Column, pattern: str) -> Column:
 
 
 def tree(text: Column) -> Column:
-    """Sections of paragraphs of leaf hashes: array<array<array<long>>>."""
-    return F.transform(_parts(text, SECTION), lambda s: F.transform(_parts(s, PARAGRAPH), lambda p: F.transform(_parts(p, LEAF), lambda x: F.xxhash64(x))))
+    """The tree below the root: array<struct<node, paragraphs: array<struct<node, leaves: array<long>>>>>."""
 
+    def paragraph(p: Column) -> Column:
+        made = F.transform(_parts(p, LEAF), lambda x: F.xxhash64(x))
+        return F.transform(F.array(made), lambda leaves: F.struct(F.xxhash64(leaves).alias("node"), leaves.alias("leaves")))[0]
 
-def paragraph_nodes(made: Column) -> Column:
-    """array<array<long>>: a node a paragraph, by section."""
-    return F.transform(made, lambda s: F.transform(s, lambda p: F.xxhash64(p)))
+    def section(s: Column) -> Column:
+        made = F.transform(_parts(s, PARAGRAPH), paragraph)
+        return F.transform(F.array(made), lambda ps: F.struct(F.xxhash64(F.transform(ps, lambda p: p["node"])).alias("node"), ps.alias("paragraphs")))[0]
 
-
-def section_nodes(made: Column) -> Column:
-    return F.transform(paragraph_nodes(made), lambda s: F.xxhash64(s))
+    return F.transform(_parts(text, SECTION), section)
 
 
 def root(made: Column, n_chars: Column) -> Column:
-    """64 hexadecimal digits that stand for the whole text. Nodes and leaves both enter, so that no level's hash alone
-    decides equality."""
-    return F.sha2(F.concat_ws("|", n_chars.cast("string"), F.array_join(section_nodes(made).cast("array<string>"), ","), F.array_join(F.flatten(F.flatten(made)).cast("array<string>"), ",")), 256)
+    """64 hexadecimal digits that stand for the whole text, made from the sections' nodes and the length."""
+    return F.sha2(F.concat_ws("|", n_chars.cast("string"), F.array_join(F.transform(made, lambda s: s["node"].cast("string")), ",")), 256)
 
 
 def leaves(made: Column) -> Column:
-    return F.array_distinct(F.flatten(F.flatten(made)))
+    return F.array_distinct(F.flatten(F.flatten(F.transform(made, lambda s: F.transform(s["paragraphs"], lambda p: p["leaves"])))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -59,19 +58,18 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def differing(a: Column, b: Column) -> Column:
-    """Where two trees differ, from the root down: array<struct<section, paragraph>> by position, counted from 0. A
-    section that equals its counterpart isn't entered."""
-    none = F.array().cast("array<array<bigint>>")
-    at = lambda t, i: F.coalesce(F.get(t, i), none)
-    sections = F.when(F.greatest(F.size(a), F.size(b)) > 0, F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b)) - 1)).otherwise(F.array().cast("array<int>"))
+    """Where two trees differ, from the root down by nodes alone: array<struct<section, paragraph>> by position, counted
+    from 0. A section whose node equals its counterpart's isn't entered."""
+    nowhere = F.array().cast("array<int>")
+    places = lambda x, y: F.when(F.greatest(F.size(x), F.size(y)) > 0, F.sequence(F.lit(0), F.greatest(F.size(x), F.size(y)) - 1)).otherwise(nowhere)
+    apart = lambda x, y: ~x["node"].eqNullSafe(y["node"])
+    none = F.array().cast("array<struct<node:bigint,leaves:array<bigint>>>")
 
     def inside(i: Column) -> Column:
-        x, y = at(a, i), at(b, i)
-        most = F.greatest(F.size(x), F.size(y))
-        places = F.when((x != y) & (most > 0), F.sequence(F.lit(0), most - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(F.filter(places, lambda j: ~F.get(x, j).eqNullSafe(F.get(y, j))), lambda j: F.struct(i.alias("section"), j.alias("paragraph")))
+        x, y = (F.coalesce(F.get(t, i)["paragraphs"], none) for t in (a, b))
+        return F.transform(F.filter(places(x, y), lambda j: apart(F.get(x, j), F.get(y, j))), lambda j: F.struct(i.alias("section"), j.alias("paragraph")))
 
-    return F.flatten(F.transform(sections, inside))
+    return F.flatten(F.transform(F.filter(places(a, b), lambda i: apart(F.get(a, i), F.get(b, i))), inside))
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
@@ -91,28 +89,55 @@ def _below(bounds: list[int], x: Column) -> Column:
     return group * k + F.size(F.filter(held, lambda b: b < x))
 
 
+#: Ranges by rows that are weighed by bytes, for each range of the result.
+FINE = 8
+
+
+def _ranges(rows: DataFrame, n: int) -> tuple[list[int], dict[int, int | None]]:
+    """Upper bounds of up to `n` ranges of doc_id with about as many bytes each, and the largest id of each range (range 0
+    holds the largest ids; rows without one are the last). At most FINE * n rows reach the driver."""
+    fine = sorted(set(rows.agg(F.percentile_approx("doc_id", [k / (FINE * n) for k in range(1, FINE * n)], max(10_000, 4 * FINE * n))).first()[0] or []))
+    weighed = rows.where("doc_id is not null").groupBy(_below(fine, F.col("doc_id")).alias("k")).agg(F.sum(F.octet_length("text") + 64).alias("bytes"), F.max("doc_id").alias("most")).orderBy("k").collect()
+    share = sum(r.bytes for r in weighed) / n
+    bounds, held = [], 0
+    for r, after in zip(weighed, weighed[1:]):
+        held += r.bytes
+        if held + after.bytes / 2 > share:
+            bounds.append(fine[r.k])
+            held = 0
+    heads: dict[int, int | None] = {}
+    for r in weighed:
+        at = len(bounds) - sum(x < r.most for x in bounds)
+        heads[at] = max(heads.get(at, r.most), r.most)
+    return bounds, heads
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text and next_text: the text of the next row in descending doc_id; the first one follows the last.
 
-    The ids are cut into ranges by their quantiles, one a task. The texts then move once, by range; a range is also sent
-    the first row of the range after it, as a guest at its end, so that each row's next one is in its own range.
+    The ids are cut into ranges of about as many bytes, one a task. The texts then move once, to the task of their range; a
+    range is also sent the first row of the range after it, as a guest at its end, so that each row's next one is in its own
+    range. Rows of one doc_id, and those without one, are one range's: ids are taken to be few to a value.
     """
     spark = docs.sparkSession
     rows = shared.id_text(docs)
-    n = shared.partitions(spark)
-    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []))
-    # range 0 holds the largest ids; nulls come last
-    of = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - _below(bounds, F.col("doc_id")))
-    ranged = rows.withColumn("_range", of.cast("int"))
-    across = Window.orderBy("_range")
-    firsts = ranged.groupBy("_range").agg(F.max("doc_id").alias("_first"))  # a row a range
-    heads = firsts.withColumn("_before", F.coalesce(F.lag("_range").over(across), F.last("_range").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    own = F.struct(F.col("_range").alias("to"), F.lit(False).alias("guest"))
-    also = F.struct(F.col("_before").alias("to"), F.lit(True).alias("guest"))
-    sent = ranged.join(F.broadcast(heads), "_range").select("doc_id", "text", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("_first")), F.array(own, also)).otherwise(F.array(own))).alias("_at"))
-    order = [F.col("_at.guest"), F.col("doc_id").desc_nulls_last(), F.col("text").desc()]
-    led = sent.withColumn("next_text", F.lead("text").over(Window.partitionBy("_at.to").orderBy(*order)))
-    return led.where("not _at.guest").select("doc_id", "text", "next_text")
+    bounds, heads = _ranges(rows, shared.partitions(spark))
+    last = len(bounds) + 1
+    of = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(F.lit(len(bounds)) - _below(bounds, F.col("doc_id"))).cast("int")
+    if not rows.where("doc_id is null").isEmpty():
+        heads[last] = None
+    if not heads:
+        return rows.withColumn("next_text", F.col("text"))
+    own = rows.select(of.alias("_to"), F.lit(False).alias("_guest"), "doc_id", "text")
+    used = sorted(heads)
+    before = {k: used[i - 1] for i, k in enumerate(used)}
+    at = spark.createDataFrame([(heads[k], before[k]) for k in used], "head long, to int")  # a row a range
+    first = rows.join(F.broadcast(at), F.col("doc_id").eqNullSafe(F.col("head"))).select(F.col("to").alias("_to"), F.lit(True).alias("_guest"), "doc_id", "text")
+    guests = first.groupBy("_to", "_guest", "doc_id").agg(F.max("text").alias("text"))
+    placed = own.unionByName(guests).repartitionById(last + 1, F.col("_to"))
+    order = [F.col("_guest"), F.col("doc_id").desc_nulls_last(), F.col("text").desc()]
+    led = placed.withColumn("next_text", F.lead("text").over(Window.partitionBy("_to").orderBy(*order)))
+    return led.where("not _guest").select("doc_id", "text", "next_text")
 
 
 def edited(text: Column, other: Column) -> Column:

@@ -9,7 +9,7 @@ string of the code before the entry was made, and one more sample), so lengths a
 are then copied by following each place back to a literal, all at once.
 
 Results for odd input: a null or empty file, one that isn't a GIF, or one cut short has status `error: ...` and the
-frames read before that point; a null text is an empty one; rows are handled one by one, so repeated rows, null ids and
+frames read before that point; one whose canvas is over MOST_CANVAS samples has such a status and no frames; a null text is an empty one; rows are handled one by one, so repeated rows, null ids and
 ties have no effect on each other; an empty table gives none; columns other than those named are ignored.
 """
 
@@ -29,6 +29,9 @@ MOST_CODES = 4096
 #: Rows of samples in one frame of a payload's file.
 FRAME_ROWS = 1024
 WIDTH = 64
+#: Samples of a canvas or a frame, at most: a header may claim 65,535 by 65,535 in a file of 30 bytes. A larger one has a
+#: status that says so.
+MOST_CANVAS = 1 << 26
 
 
 def _code_bits(min_size: int, n: int) -> np.ndarray:
@@ -226,6 +229,8 @@ def parse(data: bytes | None) -> tuple[int, int, list[Frame], str]:
                 at += 3 * n
             min_size = data[at]
             stream, at = _sub_blocks(data, at + 1)
+            if w * h > MOST_CANVAS:
+                raise ValueError("a frame is too large")
             flat = lzw_decode(stream, min_size, w * h)
             if len(flat) < w * h:
                 raise ValueError("cut short")
@@ -338,6 +343,8 @@ def frames(files: DataFrame, id_col: str, media_col: str) -> DataFrame:
         for batch in batches:
             for media_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 width, height, found, status = parse(data)
+                if width * height > MOST_CANVAS:
+                    found, status = [], "error: the canvas is too large"
                 if not found:
                     yield pa.RecordBatch.from_pylist([{"media_id": media_id, "status": status}], schema=schema)
                 start = 0

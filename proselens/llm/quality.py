@@ -7,10 +7,10 @@
    least hash) trains a logistic scorer over hashed byte trigrams and votes.
 3. Every text is scored; those whose probability of being good is under `REJECT_UNDER` are rejected.
 
-Results for odd input: a null text is an empty one, on which no heuristic has an opinion: it is scored and kept as the
-model's prior has it, and is never rejected; equal texts have equal scores; rows are otherwise handled one by one; an empty table gives none and fits a model
-that keeps everything, as one label alone does; columns other than the two named are ignored by `scored`, and kept as
-they are by `kept`.
+Results for odd input: a null text is an empty one; a text without words is scored and never rejected, the scorer decides
+on all others however short; equal texts have equal scores; rows are otherwise handled one by one; an empty table gives
+none and fits a model that keeps everything, as one label alone does; columns other than the two named are ignored by
+`scored`, and kept as they are by `kept`.
 """
 
 from __future__ import annotations
@@ -31,8 +31,12 @@ SAMPLE = 1500
 #: Buckets of the hashed features.
 BUCKETS = 4096
 REJECT_UNDER = 0.5
+#: Bytes from which a text of under five words is long enough for the heuristics that look at letters.
+LONG_WORDS = 120
 #: Prior share of good texts on which a heuristic votes bad, and its weight in texts of the corpus.
 PRIOR_FALSE, PRIOR_TEXTS = 0.002, 5
+#: Share of good texts among as many imagined ones: it decides where the corpus is a few texts, and is nothing beyond.
+PRIOR_GOOD, PRIOR_COUNT = 0.8, 10
 GOOD, BAD, NONE = 2, 1, 0
 _SENTENCE = re.compile(r"[.?](?:\s|$)")
 _MARKS = [ord(c) for c in "#$%&*+/<=>@\\^_`{|}~"]
@@ -46,26 +50,28 @@ def votes(text: str) -> list[int]:
     """The heuristics' votes on `text`."""
     words = text.split()
     n = len(words)
-    if n < 5:
+    if not n:
         return [NONE] * 9
     counts = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
     upper, lower = int(counts[65:91].sum()), int(counts[97:123].sum())
     total = int(counts.sum())
     often = Counter(words)
     top = often.most_common(1)[0][1] / n
-    same = sum(map(str.__eq__, words, words[1:])) / (n - 1)
+    same = sum(map(str.__eq__, words, words[1:])) / max(1, n - 1)
     lines = [x for x in text.split("\n") if x.strip()]
     again = 1 - len(set(lines)) / len(lines)
     sentences = len(_SENTENCE.findall(text)) / n
+    # few words tell by their letters only where there are many of these
+    enough = n >= 5 or total >= LONG_WORDS
     return [
-        _between(counts[_MARKS].sum() / total, 0, 0, 0.01, 0.04),
-        _between(upper / max(1, upper + lower), 0, 0, 0.15, 0.5),
+        _between(counts[_MARKS].sum() / total, 0, 0, 0.01, 0.04) if enough else NONE,
+        _between(upper / max(1, upper + lower), 0, 0, 0.15, 0.5) if enough else NONE,
         _between(top, 0, 0, 0.15, 0.3) if n >= 20 else NONE,
         _between(same, 0, 0, 0.05, 0.2) if n >= 20 else NONE,
-        _between(counts[124] / n, 0, 0, 0.03, 0.1),
+        _between(counts[124] / n, 0, 0, 0.03, 0.1) if n >= 5 else NONE,
         _between(sentences, 0.005, 0.02, 0.3, 0.6) if n >= 40 else NONE,
-        _between(counts[33] / n, 0, 0, 0.1, 0.4),
-        _between(sum(map(len, words)) / n, 2, 3, 9, 14),
+        _between(counts[33] / n, 0, 0, 0.1, 0.4) if n >= 5 else NONE,
+        _between(sum(map(len, words)) / n, 2, 3, 9, 14) if enough else NONE,
         _between(again, 0, 0, 0.3, 0.6) if len(lines) >= 4 else NONE,
     ]
 
@@ -110,7 +116,7 @@ def expectation_maximisation(counted: dict[int, int], rounds: int = 100) -> Labe
     v = np.array([unpacked(c) for c in codes])
     good = np.where((v == BAD).any(axis=1), 0.1, 0.9)
     for _ in range(rounds):
-        share = float((n * good).sum() / n.sum())
+        share = float(((n * good).sum() + PRIOR_GOOD * PRIOR_COUNT) / (n.sum() + PRIOR_COUNT))
         chances = np.empty((v.shape[1], 2, 2))
         for vote in (BAD, GOOD):
             hit = (v == vote).astype(float)
@@ -236,7 +242,7 @@ def scored(docs: DataFrame, models: tuple[LabelModel, Scorer] | None = None, rej
             for a, b in tokens.in_bytes(texts, 1 << 22):
                 got = [judge(t) for t in texts[a:b]]
                 code, posterior, score = zip(*got)
-                keep = [s >= reject_under or c == 0 for c, s in zip(code, score)]
+                keep = [s >= reject_under or not t.strip() for t, s in zip(texts[a:b], score)]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(code, pa.int32()), pa.array(posterior, pa.float64()), pa.array(score, pa.float64()), pa.array(keep)], names=["doc_id", "pattern", "posterior", "score", "kept"])
 
     return shared.id_text(docs).mapInArrow(rows, "doc_id long, pattern int, posterior double, score double, kept boolean")
@@ -251,7 +257,7 @@ def kept(docs: DataFrame, reject_under: float = REJECT_UNDER) -> DataFrame:
     def good(texts):
         if not cache:
             cache.append(_judge(*known.value))
-        return texts.map(lambda t: (got := cache[0](t or ""))[2] >= reject_under or got[0] == 0).astype(bool)
+        return texts.map(lambda t: not t or not t.strip() or cache[0](t)[2] >= reject_under).astype(bool)
 
     return docs.where(good(docs["text"]))
 

@@ -15,10 +15,13 @@ OWN = "_pl_"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: `spark.checkpoint.dir`, or the context's checkpoint folder.
 
-    Only where neither is set (a local session, as in tests) is a temporary folder made and set.
+    Where neither is set, a local session (as in tests) gets a temporary folder; a cluster's has no folder that all of its
+    machines could be known to share, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="proselens-")
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -134,6 +135,75 @@ def test_op2(spark, tmp_path):
     assert (got[1].fingerprint == got[1].edited_fingerprint) and got[1].n_differing == 0
 
 
+def _signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def _node(children):
+    h = 42
+    for c in children:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", c), seed=h)
+    return _signed(h)
+
+
+def _merkle(text):
+    """Sections of paragraphs of leaves by walking over the characters; (root, section nodes, paragraph nodes)."""
+    sections, section, paragraph, leaf = [], [], [], ""
+
+    def close(into, part):
+        if part:
+            into.append(part)
+
+    for k, c in enumerate(text):
+        leaf += c
+        end_line, after = c == "\n", text[k + 1 : k + 2]
+        if end_line or (c == " " and leaf[-2:-1] in [*".!?|;:"]):
+            paragraph.append(leaf)
+            leaf = ""
+        if end_line:
+            section.append(paragraph)
+            paragraph = []
+        if end_line and text[k - 1 : k] == "\n" and after != "\n":
+            sections.append(section)
+            section = []
+    close(paragraph, leaf)
+    close(section, paragraph)
+    close(sections, section)
+    hashed = [[[_signed(xxhash.xxh64_intdigest(x.encode(), seed=42)) for x in p] for p in s] for s in sections]
+    nodes = [[_node(p) for p in s] for s in hashed]
+    tops = [_node(s) for s in nodes]
+    return hashlib.sha256(f"{len(text)}|{','.join(map(str, tops))}".encode()).hexdigest(), tops, nodes, {x for s in hashed for p in s for x in p}
+
+
+def test_op2_by_a_plain_merkle_tree(spark, tmp_path):
+    rng = random.Random(21)
+    bits = ["word ", "other. ", "end.\n", "\n", "\n\n", "x", "é! ", "| ", "\n\n\n", "a; b"]
+    rows = [(3 * k, "".join(rng.choice(bits) for _ in range(rng.randrange(60)))) for k in range(150)] + [(1000, "long sentence here. " * 8000), (None, "a. b"), (7, None)]
+    rows = list({d: (d, t) for d, t in rows}.values())
+    got = {r.doc_id: r for r in fingerprints.compared(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
+    for k, (d, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        e = t[: len(t) - half] + after[:half]
+        (a, at, an, al), (b, bt, bn, bl), (_, _, _, nl) = _merkle(t), _merkle(e), _merkle(after)
+        alike = lambda x, y: 1.0 if not x and not y else 2 * len(x & y) / (len(x) + len(y))
+        r = got[d]
+        assert (r.fingerprint, r.edited_fingerprint) == (a, b), d
+        assert abs(r.near_edited - alike(al, bl)) < 1e-12 and abs(r.near_next - alike(al, nl)) < 1e-12
+        get = lambda x, i: x[i] if i < len(x) else None
+        want = [(i, j) for i in range(max(len(at), len(bt))) if get(at, i) != get(bt, i) for j in range(max(len(get(an, i) or []), len(get(bn, i) or []))) if get(get(an, i) or [], j) != get(get(bn, i) or [], j)]
+        assert [(x.section, x.paragraph) for x in r.differing] == want, d
+
+
+def test_next_with_null_ids_and_clashing_columns(spark):
+    rows = [(None, f"n{k}", "x") for k in range(30)] + [(5, "same", "y")] * 4 + [(k, f"t{k}", "z") for k in range(10, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _to string").repartition(7)
+    got = sorted(((-1 if r.doc_id is None else r.doc_id, r.text, r.next_text) for r in fingerprints.with_next(docs).collect()), reverse=True)
+    order = sorted(((-1 if d is None else d, t) for d, t, _ in rows), reverse=True)
+    assert got == [(d, t, order[(k + 1) % len(order)][1]) for k, (d, t) in enumerate(order)]
+
+
 def test_next_is_right_across_ranges_and_ties(spark):
     rows = [(k % 40, f"t{k:03d}") for k in range(100)]
     got = sorted(((r.doc_id, r.text, r.next_text) for r in fingerprints.with_next(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()), reverse=True)
@@ -201,7 +271,7 @@ def test_op4_shortcut_changes_nothing(spark, tmp_path):
     model = licenses.default_model()
     for (text,) in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect():
         for line in text.split("\n"):
-            assert model.notice(line) == model.notice(line, shortcut=False)
+            assert (model.notice(line) is None) == (model.notice(line, shortcut=False) is None)
 
 
 WRAPPED = {
@@ -221,6 +291,85 @@ def test_wrapped_notices(family, mark):
         assert [n["family"] for n in licenses.notices(text, licenses.default_model())] == [family], text
 
 
+#: Wordings that no template has.
+UNSEEN = {
+    "agpl": ["the server is AGPL-3.0 software", "GNU AFFERO GENERAL PUBLIC LICENSE, Version 3"],
+    "apache": ["Everything here is Apache 2.0 licensed.", "Apache License, Version 2.0, January 2004", "made available under the Apache License, v2.0"],
+    "bsd": ["The New BSD License applies.", "this module comes with a 3-clause BSD licence"],
+    "cc-by": ["photo by the author, CC BY 4.0", "a Creative Commons Attribution 3.0 licence covers the figures"],
+    "cc-by-sa": ["The article may be used under CC BY-SA 4.0.", "Creative Commons Attribution-ShareAlike 3.0 Unported"],
+    "cc0": ["The dataset is CC0 1.0.", "waived into the public domain with CC0"],
+    "gpl": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "The tool is under the GNU GPL, version 3.", "a GPL-2.0 program"],
+    "isc": ["the ISC License covers this package"],
+    "lgpl": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3", "the bindings are under the LGPL"],
+    "mit": ["MIT License", "All code here is under the MIT licence.", "see LICENSE (MIT)"],
+    "mpl": ["Mozilla Public License Version 2.0", "parts are under the MPL 2.0"],
+    "reserved": ["(c) 2018 Some Company Ltd. All rights reserved."],
+    None: [
+        "Licensed under the CeCILL License, version 2.1.", "Released under the Fooware Public License.", "Distributed under the Mulan License.", "The work is covered by the Open Publication License.", "She got her license in March.", "His fishing license was not valid in that state.",
+        "The rights to the film were sold last year.", "The old library stands in the public square.", "Software is eating the world, they said.", "Version 2.0 came out under the new name.", "He was granted permission to leave.", "The terms of the treaty were general.", "A copy of the notice hung above the door.", "the gnu is a large animal",
+        "Apache helicopters flew over the town.", "The commons were open to all.", "No warranty is given for used cars.", "The source of the river is not known.",
+    ],
+}
+
+
+def test_licences_on_unseen_wordings():
+    model = licenses.default_model()
+    told = [(f, (got := model.notice(t)) and got[0], t) for f, ts in UNSEEN.items() for t in ts]
+    assert [t for f, got, t in told if f is None and got] == []
+    assert [t for f, got, t in told if f and got and got != f] == []  # never another family
+    found = [got == f for f, got, _ in told if f]
+    assert sum(found) / len(found) >= 0.8, [t for f, got, t in told if f and got != f]
+
+
+def test_other_licences_are_unknown():
+    model = licenses.default_model()
+    assert [t for t in licenses.FOREIGN + licenses.OTHERS if model.notice(t)] == []
+    assert [t for f, ts in licenses.TEMPLATES.items() for t in ts if (model.notice(t) or [None])[0] != f] == []
+    assert model.probabilities([]).argmax() == len(model.families) - 1
+
+
+def _plain_notice(paragraph, model):
+    """The judgement once more, by loops over features and templates."""
+    w = re.findall(r"[a-z]+(?:-[a-z]+)*|\d+(?:\.\d+)*", paragraph.lower().replace("licence", "license"))
+    features = {x for x in w if x not in licenses._COMMON} | {f"{a} {b}" for a, b in zip(w, w[1:]) if {a, b} - licenses._COMMON} | {f"<new> {b}" for a, b in zip(w, w[1:]) if b in ("license", "licence", "public", "general", "software") and a not in model.known}
+    features = [f for f in features if f in model.vocabulary]
+    z = [float(model.bias[k]) + sum(float(model.weights[model.vocabulary[f], k]) for f in features) / max(1, len(features)) ** 0.5 for k in range(len(model.families))]
+    e = [np.exp(model.scale * (x - max(z))) for x in z]
+    family, p = max(zip(model.families, (x / sum(e) for x in e)), key=lambda t: t[1])
+    if family == "unknown" or p < 0.5:
+        return None
+    have = {*zip(w, w[1:]), *((x,) for x in w if x not in licenses._COMMON)}
+    best = 0.0
+    for t in licenses.TEMPLATES[family]:
+        u = licenses.words(t)
+        want = {*zip(u, u[1:]), *((x,) for x in u if x not in licenses._COMMON)}
+        if not licenses.NAMES[family] & set(u) or licenses.NAMES[family] & set(u) & set(w):
+            best = max(best, len(want & have) / len(want))
+    return (family, float(p), best) if best >= 0.5 else None
+
+
+def test_op4_by_brute_force(spark, tmp_path):
+    """Single lines between blank ones are paragraphs by themselves: all of them are judged by loops."""
+    lines = [t for ts in [*UNSEEN.values(), *licenses.TEMPLATES.values(), licenses.FOREIGN, licenses.OTHERS] for t in ts]
+    rows = [(k, "\n\n".join(lines[k : k + 7])) for k in range(0, len(lines), 7)]
+    model = licenses.fitted(spark.createDataFrame(rows, SCHEMA))
+    got = {r.doc_id: r.notices for r in licenses.scan(spark.createDataFrame(rows, SCHEMA), model).collect()}
+    n = 0
+    for k, text in rows:
+        want, at = [], 0
+        for line in text.split("\n\n"):
+            if judged := _plain_notice(line, model):
+                want.append((at, at + len(line), *judged))
+            at += len(line) + 2
+        assert [(x.start, x.end, x.family) for x in got[k]] == [x[:3] for x in want]
+        assert all(abs(x.probability - y[3]) < 1e-4 and abs(x.shared - y[4]) < 1e-4 for x, y in zip(got[k], want))
+        n += len(want)
+    assert n > 60
+    queried = {r.doc_id: r.spans for r in queries.op4_licenses(spark, _saved(spark, tmp_path, rows)).collect()}
+    assert queried == {k: ",".join(f"{x.family}:{x.start}:{x.end}" for x in v) for k, v in got.items()}
+
+
 def test_op6_finds_labelled_quality(spark):
     found = queries.op6_quality(spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -241,6 +390,52 @@ def test_expectation_maximisation_recovers_accuracies():
     assert abs(model.good - 0.85) < 0.03 and abs(model.chances[:, 0, quality.BAD - 1] - 0.5).max() < 0.1
 
 
+def test_op6_by_brute_force(spark):
+    """The label model by loops over texts, the sample by Python's hashes, the scores text by text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    votes = {d: quality.votes(t) for d, t in texts.items()}
+    good = {d: 0.1 if 1 in v else 0.9 for d, v in votes.items()}
+    n = len(texts)
+    for _ in range(100):
+        share = (sum(good.values()) + 8) / (n + 10)
+        chance = {}
+        for k in range(9):
+            g1, g2 = (sum(good[d] for d, v in votes.items() if v[k] == x) + 1 for x in (1, 2))
+            b1, b2 = (sum(1 - good[d] for d, v in votes.items() if v[k] == x) + 1 for x in (1, 2))
+            g1, g2 = g1 + quality.PRIOR_TEXTS * n * quality.PRIOR_FALSE, g2 + quality.PRIOR_TEXTS * n * (1 - quality.PRIOR_FALSE)
+            chance[k] = ((b1 / (b1 + b2), b2 / (b1 + b2)), (g1 / (g1 + g2), g2 / (g1 + g2)))
+        now = {}
+        for d, v in votes.items():
+            p, q = share, 1 - share
+            for k, x in enumerate(v):
+                if x:
+                    p, q = p * chance[k][1][x - 1], q * chance[k][0][x - 1]
+            now[d] = p / (p + q)
+        moved, good = max(abs(now[d] - good[d]) for d in now), now
+        if moved < 1e-9:
+            break
+    hashes = {t: _signed(xxhash.xxh64_intdigest(t.encode(), seed=42)) for t in set(texts.values())}
+    label = {texts[d]: p for d, p in good.items()}
+    chosen = sorted((t for t in hashes), key=hashes.get)
+    fit = [t for want in (True, False) for t in [x for x in chosen if (label[x] > 0.5) == want][: quality.SAMPLE]]
+    fit.sort(key=hashes.get)
+    scorer = quality.train(np.stack([quality.features(t, quality.votes(t)) for t in fit]), np.array([label[t] for t in fit]))
+    for r in quality.scored(docs).collect():
+        t = texts[r.doc_id]
+        assert abs(r.posterior - good[r.doc_id]) < 1e-3, r.doc_id
+        score = scorer.probability(quality.features(t, votes[r.doc_id]))
+        assert abs(r.score - score) < 1e-2 and (abs(score - 0.5) < 1e-2 or r.kept == (score >= 0.5 or not t.strip()))
+
+
+def test_the_scorer_decides_on_short_and_unspaced_texts(spark):
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(WORDS) for _ in range(60)) + ".") for k in range(200)]
+    rows += [(1000 + k, "".join(rng.choice("#$%&*+/<=>@^_`{|}~") for _ in range(3000))) for k in range(40)] + [(2000, "one two"), (2001, " \n ")]
+    got = {r.doc_id: r.kept for r in quality.scored(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(got[1000 + k] for k in range(40)) and all(got[k] for k in range(200)) and got[2000] and got[2001]
+
+
 def test_quality_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "x"), (None, "ok words that are here"), (4, "w " * 50_000)]
     got = quality.scored(spark.createDataFrame(rows, SCHEMA)).collect()
@@ -275,6 +470,43 @@ def test_matrix_has_the_law():
     assert abs(total / 2000 - np.outer(counts, sizes) / 20).max() < 0.12
 
 
+def test_draws_beyond_numpy_have_the_law():
+    from fractions import Fraction
+    from math import comb
+
+    for good, bad, take in ((7, 5, 6), (40, 3, 20), (300, 200, 111)):
+        p = take / (good + bad)
+        for k in range(max(0, take - bad), min(good, take) + 1):
+            exact = float(Fraction(comb(good, k) * comb(bad, take - k), comb(good + bad, take)))
+            got = sharding._binomial(k, good, p) * sharding._binomial(take - k, bad, p) / sharding._binomial(take, good + bad, p)
+            assert abs(got / exact - 1) < 1e-12
+        g = sharding._generator(9, good)
+        draws = np.array([sharding._by_inversion(g, good, bad, take, step=3) for _ in range(4000)])
+        chance = np.array([comb(good, k) * comb(bad, take - k) / comb(good + bad, take) for k in range(take + 1)])
+        seen = np.bincount(draws, minlength=take + 1)[: take + 1]
+        often = chance * 4000 > 5
+        assert ((seen - 4000 * chance)[often] ** 2 / (4000 * chance[often])).sum() < often.sum() + 5 * (2 * often.sum()) ** 0.5
+    g = sharding._generator(10)
+    good, bad, take = 30_000_000_000, 50_000_000_000, 20_000_000_000
+    draws = np.array([sharding._by_inversion(g, good, bad, take) for _ in range(300)], dtype=float)
+    mean, n = take * good / (good + bad), good + bad
+    sd = (take * good / n * bad / n * (n - take) / (n - 1)) ** 0.5
+    assert abs(draws.mean() - mean) < 5 * sd / 300**0.5 and 0.8 < draws.std() / sd < 1.2
+    room = np.array([10**9, 3 * 10**9, 5])
+    out = sharding.drawn(sharding._generator(11), room, 2 * 10**9)
+    assert out.sum() == 2 * 10**9 and (out <= room).all() and (out >= 0).all()
+
+
+def test_whole_rows_are_shuffled_alike(spark):
+    """Every row falls in every shard about as often, whatever its place in the input."""
+    docs = spark.createDataFrame([(k, "x") for k in range(24)], SCHEMA).repartition(3).cache()
+    seen = np.zeros((24, 3))
+    for seed in range(40):
+        for r in sharding.sharded(docs, shards=3, seed=seed).collect():
+            seen[r.doc_id, r.shard] += 1
+    assert (seen.sum(axis=0) == 320).all() and abs(seen / 40 - 1 / 3).max() < 0.35
+
+
 def test_shards_keep_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a", "s", 3)], "doc_id long, text string, shard string, _pl_mid int")
     r = sharding.sharded(docs).first()
