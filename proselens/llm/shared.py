@@ -33,10 +33,15 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """`df` as a table in the shared folder: cuts lineage and fixes what non-repeatable steps decided."""
+    return written_at(df, what)[0]
+
+
+def written_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """As `written`, with the table's path, for `removed`."""
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def removed(spark: SparkSession, path: str) -> None:

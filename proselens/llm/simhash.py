@@ -4,8 +4,8 @@ Fingerprints: every shingle's XXH64 votes on every bit. Rows with one fingerprin
 moves. Classes are compared in tiles with numpy's exclusive-or and bit counts. A tile is the classes whose population
 counts, taken lane by lane (a lane is an equal part of the bits), are the same: two fingerprints that differ in `radius`
 bits at most have lane counts that differ by `radius` at most in sum, so tile pairs beyond that are skipped, none other.
-Wide fingerprints with a wide radius, for which population counts skip little, are tiled by their number of shingles
-instead: a similarity of s needs sizes within a factor s.
+Wide fingerprints with a wide radius, for which population counts skip little, are tiled by bands of minimum hashes of
+their shingles instead, so that only texts which share much are compared (`similar_links`).
 
 A tile is split into blocks of a bounded size; the visitors of a block stream past it. The links that a block and a
 batch of visitors give are thinned to a spanning forest before they leave the task. Components come from repeated
@@ -47,32 +47,52 @@ def shingles(text: str, words: int) -> list[bytes]:
     return [b" ".join(x) for x in zip(*(found[i:] for i in range(words)))]
 
 
-def fingerprint(text: str, words: int, parts: int = 1, repeats: bool = True) -> tuple[np.ndarray, int]:
-    """`parts` words of 64 bits, and the number of distinct shingles. Part k > 0 votes with hashes mixed from the first.
-    Without `repeats` a shingle votes once however often it occurs."""
-    grams = shingles(text, words)
-    if not repeats:
-        grams = list(dict.fromkeys(grams))
-    out = np.zeros(parts, dtype=np.uint64)
-    if not grams:
-        return out, 0
+def hashed(grams: list[bytes]) -> np.ndarray:
+    """Every shingle's XXH64."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter([digest(g, 42) for g in grams], dtype=np.uint64, count=len(grams))
-    for k in range(parts):
+    return np.fromiter([digest(g, 42) for g in grams], dtype=np.uint64, count=len(grams))
+
+
+def voted(h: np.ndarray, parts: int = 1) -> np.ndarray:
+    """`parts` words of 64 bits, each bit set where over half of the hashes have it. Part k > 0 votes with hashes mixed from
+    the first."""
+    out = np.zeros(parts, dtype=np.uint64)
+    for k in range(parts if len(h) else 0):
         x = h if not k else mixed(h, k)
         # bits of many hashes at a time: 64 counts, summed in slices that stay small
         votes = np.zeros(64, dtype=np.int64)
         for at in range(0, len(x), 1 << 14):
             votes += np.unpackbits(x[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(votes * 2 > len(grams), bitorder="little").view(np.uint64)[0]
-    return out, len(set(grams))
+        out[k] = np.packbits(votes * 2 > len(h), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def fingerprint(text: str, words: int, parts: int = 1, repeats: bool = True) -> tuple[np.ndarray, int]:
+    """The text's bits, and the number of its distinct shingles. Without `repeats` a shingle votes once however often it
+    occurs."""
+    h = hashed(shingles(text, words))
+    distinct = np.unique(h)
+    return voted(h if repeats else distinct, parts), len(distinct)
 
 
-def set_digest(text: str, words: int) -> bytes:
-    """16 bytes of the set of the text's shingles."""
-    return hashlib.blake2b(b"\n".join(sorted(set(shingles(text, words)))), digest_size=16).digest()
+#: Bands of minimum hashes, and hashes in one: two texts that share 0.8 of their shingles miss each other in all bands 7
+#: times in 10^5; at 0.85 less than once in 10^6; at 0.1 they meet in one 2 times in 10^4.
+BANDS, IN_BAND = 24, 5
+_ODD = (np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, BANDS * IN_BAND, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def bands(distinct: np.ndarray) -> np.ndarray:
+    """A key for each band: a hash of its minimum hashes."""
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(distinct), 512):
+            np.minimum(least, (distinct[at : at + 512, None] * _ODD).min(axis=0), out=least)
+        key = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for k in range(IN_BAND):
+            key = mixed(key ^ least[k::IN_BAND], k + 1)
+    return key
 
 
 def mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -84,19 +104,31 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, words: int = 3, parts: int = 1, id_col: str = "doc_id", repeats: bool = True, whole: bool = False) -> DataFrame:
-    """doc_id, fp (bytes, little-endian), size (distinct shingles) of every row. With `whole`, fp is followed by 16 bytes
-    that tell different sets of shingles apart."""
+def fingerprints(docs: DataFrame, words: int = 3, parts: int = 1, id_col: str = "doc_id") -> DataFrame:
+    """doc_id, fp (bytes, little-endian), size (distinct shingles) of every row."""
+    return _printed(docs, id_col, lambda text: (lambda f: (f[0].astype("<u8").tobytes(), f[1]))(fingerprint(text, words, parts)))
+
+
+def set_prints(docs: DataFrame, words: int, parts: int, id_col: str) -> DataFrame:
+    """As `fingerprints`, of the set of shingles, of which each votes once: fp is followed by 16 bytes that tell different
+    sets apart and by the keys of the bands."""
+
+    def one(text: str) -> tuple[bytes, int]:
+        h = np.unique(hashed(shingles(text, words)))
+        return voted(h, parts).astype("<u8").tobytes() + hashlib.blake2b(h.tobytes(), digest_size=16).digest() + bands(h).astype("<u8").tobytes(), len(h)
+
+    return _printed(docs, id_col, one)
 
+
+def _printed(docs: DataFrame, id_col: str, one) -> DataFrame:
     def rows(batches):
         import pyarrow as pa
 
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in tokens.in_bytes(texts, 1 << 22):
-                got = [fingerprint(t, words, parts, repeats) for t in texts[a:b]]
-                cells = [f.astype("<u8").tobytes() + (set_digest(t, words) if whole else b"") for (f, _), t in zip(got, texts[a:b])]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(cells, pa.binary()), pa.array([n for _, n in got], pa.int64())], names=["doc_id", "fp", "size"])
+                got = [one(t) for t in texts[a:b]]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([f for f, _ in got], pa.binary()), pa.array([n for _, n in got], pa.int64())], names=["doc_id", "fp", "size"])
 
     return shared.id_text(docs, id_col).mapInArrow(rows, "doc_id long, fp binary, size long")
 
@@ -121,29 +153,28 @@ def offsets(lanes: int, radius: int) -> np.ndarray:
 
 
 def _near_by_tile(home: np.ndarray, guest: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows that differ in `radius` bits at most, tile by tile."""
+    """Index pairs of rows that differ in `radius` bits at most, tile by tile. Rows are taken in the order of their
+    population counts, and tile pairs whose counts are further apart than the radius are skipped."""
     step_a, step_b = 512, 2048
     parts = home.shape[1]
+    sorted_by = [(order, x[order], pop[order]) for x in (home, guest) for pop in (np.bitwise_count(x).sum(axis=1, dtype=np.int64),) for order in (np.argsort(pop, kind="stable"),)]
+    (order_a, xs, pops_a), (order_b, ys, pops_b) = sorted_by
     for a in range(0, len(home), step_a):
-        x = home[a : a + step_a]
-        for b in range(0, len(guest), step_b):
-            y = guest[b : b + step_b]
-            if parts <= 2:
-                apart = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
-                for k in range(1, parts):
-                    apart = apart + np.bitwise_count(x[:, None, k] ^ y[None, :, k])
-                i, j = np.nonzero(apart <= radius)
-            else:  # most pairs are beyond the radius by three parts already
-                apart = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
-                for k in range(1, 3):
-                    apart += np.bitwise_count(x[:, None, k] ^ y[None, :, k])
-                i, j = np.nonzero(apart <= radius)
+        x, low, high = xs[a : a + step_a], pops_a[a], pops_a[min(a + step_a, len(xs)) - 1]
+        first, last = np.searchsorted(pops_b, low - radius), np.searchsorted(pops_b, high + radius, side="right")
+        for b in range(int(first), int(last), step_b):
+            y = ys[b : min(b + step_b, int(last))]
+            apart = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
+            for k in range(1, min(parts, 3)):  # most pairs are beyond the radius by three parts already
+                apart = apart + np.bitwise_count(x[:, None, k] ^ y[None, :, k])
+            i, j = np.nonzero(apart <= radius)
+            if parts > 3 and len(i):
                 rest = apart[i, j].astype(np.int64)
                 for k in range(3, parts):
                     rest += np.bitwise_count(x[i, k] ^ y[j, k])
                 i, j = i[rest <= radius], j[rest <= radius]
             if len(i):
-                yield i + a, j + b
+                yield order_a[i + a], order_b[j + b]
 
 
 def _near(home: np.ndarray, guest: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,13 +204,12 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return np.array(keep, dtype=np.int64)
 
 
-def links(classes: DataFrame, n: int, radius: int, parts: int = 1, similarity: float | None = None) -> DataFrame:
-    """Links (a, b) between the fingerprints of `classes` (fp, size; distinct) that keep all components. With `similarity`
-    the fingerprints are followed by 8 bytes, the class's number, and all pairs (a, b) of numbers are given, a < b."""
+def links(classes: DataFrame, n: int, radius: int, parts: int = 1) -> DataFrame:
+    """Links (a, b) between the fingerprints of `classes` (fp; distinct) that keep all components."""
     spark = classes.sparkSession
     lanes = 4 if n < FINER or parts > 1 else 8
-    moves = offsets(lanes, radius) if similarity is None else None
-    words = parts if similarity is None else parts + 1
+    moves = offsets(lanes, radius)
+    words = parts
     weight = np.array([33 ** k for k in range(lanes)], dtype=np.int64)
 
     def spread(batches):
@@ -193,18 +223,12 @@ def links(classes: DataFrame, n: int, radius: int, parts: int = 1, similarity: f
             fp = np.frombuffer(b"".join(raw), "<u8").reshape(-1, words)
             blocks = tile_blocks.value
             home_block = mixed(fp[:, 0], 77)
-            if similarity is None:
-                own = lane_keys(fp, lanes)
-                tiles, home = [], own @ weight
-                for move in moves:
-                    to = own + move
-                    inside = (to >= 0).all(axis=1) & (to <= 64 * parts // lanes).all(axis=1)
-                    tiles.append((np.flatnonzero(inside), (to @ weight)[inside]))
-            else:
-                size = np.maximum(batch.column(1).to_numpy(zero_copy_only=False), 1)
-                home = np.floor(np.log(size) / -np.log(similarity) + 1e-9).astype(np.int64)
-                every = np.arange(len(fp))
-                tiles = [(every, home), (every, home + 1)]
+            own = lane_keys(fp, lanes)
+            tiles, home = [], own @ weight
+            for move in moves:
+                to = own + move
+                inside = (to >= 0).all(axis=1) & (to <= 64 * parts // lanes).all(axis=1)
+                tiles.append((np.flatnonzero(inside), (to @ weight)[inside]))
             counts = np.array([blocks.get(int(t), 1) for t in home], dtype=np.uint64)
             own_block = (home_block % counts).astype(np.int64)
             at, tile, block, guest = [np.arange(len(fp))], [home], [own_block], [np.zeros(len(fp), dtype=bool)]
@@ -243,14 +267,7 @@ def links(classes: DataFrame, n: int, radius: int, parts: int = 1, similarity: f
                 if split > s:
                     home = np.concatenate([home, fp[s:split]])
                 guests = fp[split:e]
-                if similarity is not None:
-                    numbers = [m[:, parts].byteswap().astype(np.int64) for m in (home, guests)]
-                    for i, j in _near_by_tile(home[:, :parts], guests[:, :parts], radius):
-                        x, y = numbers[0][i], numbers[1][j]
-                        other = x != y
-                        if other.any():
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[other]), pa.array(np.maximum(x, y)[other])], names=["a", "b"])
-                elif len(guests):
+                if len(guests):
                     i, j = _near(home, guests, radius)
                     if len(i):
                         nodes, back = np.unique(np.concatenate([home[i], guests[j]]), axis=0, return_inverse=True)
@@ -264,43 +281,37 @@ def links(classes: DataFrame, n: int, radius: int, parts: int = 1, similarity: f
                 cells = [[r.tobytes() for r in m.astype("<u8")] for m in (a, b)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cells], names=["a", "b"])
 
-    # blocks of each tile, from its exact count: the tiles are as many as lane counts or size classes allow
-    if similarity is None:
-        tile_of = F.lit(0).cast("long")
-        lane_bits = 64 * parts // lanes
-        hexed = F.hex("fp")
-        for k in range(lanes):
-            lane = F.conv(F.substring(hexed, k * lane_bits // 4 + 1, lane_bits // 4), 16, 10).cast("long")
-            tile_of = tile_of + F.lit(int(weight[k])) * F.bit_count(lane)
-    else:
-        tile_of = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(float(-np.log(similarity))) + F.lit(1e-9)).cast("long")
+    # blocks of each tile, from its exact count: the tiles are as many as lane counts allow
+    tile_of = F.lit(0).cast("long")
+    lane_bits = 64 * parts // lanes
+    hexed = F.hex("fp")
+    for k in range(lanes):
+        lane = F.conv(F.substring(hexed, k * lane_bits // 4 + 1, lane_bits // 4), 16, 10).cast("long")
+        tile_of = tile_of + F.lit(int(weight[k])) * F.bit_count(lane)
     per_tile = classes.groupBy(tile_of.alias("tile")).agg(F.count(F.lit(1)).alias("n"))
     tile_blocks = spark.sparkContext.broadcast({r.tile: max(1, -(-r.n // BLOCK)) for r in per_tile.collect()})
-    placed = classes.select("fp", "size").mapInArrow(spread, "tile long, block long, guest boolean, fp binary")
+    placed = classes.select("fp").mapInArrow(spread, "tile long, block long, guest boolean, fp binary")
     sorted_ = placed.repartition(max(shared.partitions(spark), 1), "tile", "block").sortWithinPartitions("tile", "block", "guest")
-    return sorted_.mapInArrow(compare, "a binary, b binary" if similarity is None else "a long, b long").distinct()
+    return sorted_.mapInArrow(compare, "a binary, b binary").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): for every node of the links, the least node that it reaches. Alternates two kinds of rounds:
-    every node's larger neighbours are given its least neighbour, then its smaller ones are."""
+    every node's larger neighbours are given its least neighbour, then its smaller ones are; it ends when every node has one
+    parent and no parent has one. A round's table is deleted once the next is written."""
     spark = edges.sparkSession
-    pairs = shared.written(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u != v").distinct(), "links")
-    mark = None
-    for _ in range(most_rounds):
+    pairs, path = shared.written_at(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u != v").distinct(), "links")
+    while True:
+        ends = pairs.select(F.col("v").alias("x"), F.lit(1).alias("as_v"), F.lit(0).alias("as_u")).unionByName(pairs.select(F.col("u").alias("x"), F.lit(0).alias("as_v"), F.lit(1).alias("as_u")))
+        if ends.groupBy("x").agg(F.sum("as_v").alias("as_v"), F.max("as_u").alias("as_u")).where("as_v > 1 or (as_v > 0 and as_u > 0)").isEmpty():
+            return pairs.select(F.col("v").alias("node"), F.col("u").alias("root"))
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u != v").distinct()
         small_least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(small_least, "v").select(F.col("m").alias("u"), F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"))
-        pairs = shared.written(small.where("u != v").distinct(), "links")
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(0xFFFFFFFF)))).first()
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError("components did not settle")
-    return pairs.select(F.col("v").alias("node"), F.col("u").alias("root"))
+        before, (pairs, path) = path, shared.written_at(small.where("u != v").distinct(), "links")
+        shared.removed(spark, before)
 
 
 #: A fingerprint that holds more than this share of the rows is joined by broadcast: there are 1 / share of them at most.
@@ -312,7 +323,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, parts: int
     prints = shared.written(fingerprints(docs, words, parts, id_col), "prints")
     classes = shared.written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n")), "classes")
     n, rows = classes.agg(F.count(F.lit(1)), F.sum("n")).first()
-    linked = components(links(classes.select("fp", "size"), n, radius, parts))
+    linked = components(links(classes.select("fp"), n, radius, parts))
     of_root = classes.join(linked, classes["fp"] == linked["node"], "left").select(classes["fp"], "rep", "n", F.coalesce("root", "fp").alias("root"))
     named = shared.written(of_root.join(of_root.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id", "n"), "named")
     # a fingerprint with a large share of all rows would be one task's; those few are sent to every task instead
@@ -324,27 +335,28 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, parts: int
 
 
 #: For texts that share 0.8 of their distinct five-word shingles, two 256-bit fingerprints differ in 39 bits on average
-#: (the angle between the sets), give or take 6; for half of them in 69; for none in 128. Each shingle votes once, as sets
-#: have it. The radius only finds candidates: every pair is then held against the shingles themselves. Of pairs at 0.8 with
-#: more than SHORT shingles, 2 in 10^9 differ in more than 76 bits (at 56 bits 2 in 10^3 did).
-SIMILAR = {"words": 5, "parts": 4, "radius": 76, "similarity": 0.8, "repeats": False}
+#: (the angle between the sets), give or take 6; for half of them in 69; for none in 128. The radius only finds candidates:
+#: every pair is then held against the shingles themselves. Of pairs at 0.8 with more than SHORT shingles, 2 in 10^9 differ
+#: in more than 76 bits.
+SIMILAR = {"words": 5, "parts": 4, "radius": 76, "similarity": 0.8}
 #: Few shingles are few votes, and ties move more bits: pairs with a text of at most so many are found by the shingles.
 SHORT = 64
+#: Classes that the members of a tile are first held against, at most; what they leave is compared in full.
+LEADERS = 64
 
 
-def short_pairs(classes: DataFrame, texts: DataFrame, words: int, similarity: float, most: int = SHORT) -> DataFrame:
-    """Pairs (a, b), a < b, of `classes` (r, size) that hold all pairs of the similarity in which either has `most`
-    shingles or fewer. Shingles are ordered by how many texts have them, rarest first: two sets that share a part s of
-    their shingles share one of the first n - ceil(s n) + 1 of each."""
+def short_keys(classes: DataFrame, texts: DataFrame, words: int, similarity: float, most: int = SHORT) -> DataFrame:
+    """(r, key) of `classes` (r, size): any pair of the similarity in which either has `most` shingles or fewer has a key in
+    common. Shingles are ordered by how many texts have them, rarest first: two sets that share a part s of their shingles
+    share one of the first n - ceil(s n) + 1 of each."""
     least = Fraction(str(similarity))
 
     def sets(batches):
         import pyarrow as pa
-        import xxhash
 
         for batch in batches:
-            found = [sorted({xxhash.xxh64_intdigest(g, 42) for g in shingles(t, words)}) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(f, dtype=np.uint64).astype(np.int64) for f in found], pa.list_(pa.int64()))], names=["r", "shingles"])
+            found = [np.unique(hashed(shingles(t, words))).astype(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["r", "shingles"])
 
     short = classes.where(F.col("size") <= int(most / least)).select("r")
     told = shared.written(texts.join(short, "r", "left_semi").select("r", "text").mapInArrow(sets, "r long, shingles array<long>"), "short")
@@ -352,52 +364,168 @@ def short_pairs(classes: DataFrame, texts: DataFrame, words: int, similarity: fl
     common = each.groupBy("s").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     ranked = each.join(common, "s", "left").groupBy("r", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("texts", F.lit(1)).alias("texts"), "s"))).alias("ranked"))
     needed = F.floor((F.col("n") * least.numerator + least.denominator - 1) / least.denominator)
-    first = ranked.select("r", "n", F.explode(F.slice("ranked", F.lit(1), (F.col("n") - needed + 1).cast("int"))).alias("e")).where("e.texts > 1").select("r", "n", F.col("e.s").alias("s"))
-    other = first.select(F.col("r").alias("b"), F.col("n").alias("m"), "s")
-    close = F.least("n", "m") * least.denominator >= F.greatest("n", "m") * least.numerator
-    return first.join(other, "s").where((F.col("r") < F.col("b")) & close).select(F.col("r").alias("a"), "b").distinct()
+    first = ranked.select("r", F.explode(F.slice("ranked", F.lit(1), (F.col("n") - needed + 1).cast("int"))).alias("e")).where("e.texts > 1")
+    return first.select("r", F.xxhash64(F.lit("shingle"), F.col("e.s")).alias("key"))
+
+
+def tile_members(classes: DataFrame, texts: DataFrame, words: int, parts: int, similarity: float) -> DataFrame:
+    """(key, short, n, r, size, fp) of the tiles that have two classes or more: a tile is a band's key, among classes of more
+    than SHORT shingles, or one of the rarest shingles, among shorter ones."""
+    at = 8 * parts + 16
+    long_keys = classes.where(F.col("size") > SHORT).select("r", F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("fp", at + 8 * k + 1, 8)) for k in range(BANDS)])).alias("key")).withColumn("short", F.lit(False))
+    keys = shared.written(long_keys.unionByName(short_keys(classes.select("r", "size"), texts, words, similarity).withColumn("short", F.lit(True))), "keys")
+    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keys.join(met, "key").join(classes.select("r", "size", F.substring("fp", 1, 8 * parts).alias("fp")), "r").select("key", "short", "n", "r", "size", "fp")
+
+
+def _groups_of(batches, parts: int):
+    """Runs of one (key, block) in sorted batches: (key, short, guest, r, size, comp, fp); a group may come in several."""
+    for batch in batches:
+        key, block, short, guest, r, size, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+        fp = np.frombuffer(b"".join(batch.column(7).to_pylist()), "<u8").reshape(-1, parts)
+        cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0) | (np.diff(guest.astype(np.int8)) != 0)) + 1
+        for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+            if e > s:
+                yield (int(key[s]), int(block[s])), bool(short[s]), bool(guest[s]), r[s:e], size[s:e], comp[s:e], fp[s:e]
+
+
+def _sizes_allow(x: np.ndarray, y: np.ndarray, least: Fraction) -> np.ndarray:
+    return np.minimum(x, y) * least.denominator >= np.maximum(x, y) * least.numerator
+
+
+def candidates(members: DataFrame, parts: int, radius: int, similarity: float, first: bool) -> DataFrame:
+    """Pairs (a, b), a < b, of `members` (key, short, n, r, size, fp, comp). `first`: each member with a leader of its tile,
+    so that a group of copies is linked by about as many pairs as it has members. Else all pairs of different components
+    that the radius allows (in tiles of shorter texts, that the sizes allow).
+
+    A tile of more than BLOCK members is cut into blocks, each of which is visited by the members of earlier ones; in the
+    first pass, by the tile's least member alone."""
+    spark, least = members.sparkSession, Fraction(str(similarity))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("r"), blocks).cast("int")
+    placed = members.withColumn("blocks", blocks).withColumn("own", own)
+    home = placed.select("key", F.col("own").alias("block"), "short", F.lit(False).alias("guest"), "r", "size", "comp", "fp")
+    big = placed.where("blocks > 1")
+    if first:
+        lead = big.groupBy("key").agg(F.min("r").alias("r"))
+        visits = big.join(lead, ["key", "r"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        order = ["key", "block", F.desc("guest"), "r"]
+    else:
+        visits = big.where("own > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("own") - 1)))
+        order = ["key", "block", "guest"]
+    rows = home.unionByName(visits.select("key", "block", "short", F.lit(True).alias("guest"), "r", "size", "comp", "fp"))
 
+    def found(a: np.ndarray, b: np.ndarray):
+        import pyarrow as pa
 
-def jaccard_links(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of `pairs` (a, b) whose texts in `texts` (r, text) have a Jaccard similarity of `similarity` at least, over
-    their sets of distinct shingles."""
+        apart = a != b
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[apart]), pa.array(np.maximum(a, b)[apart])], names=["a", "b"])
+
+    def led(batches):
+        at, leaders = None, []
+        for key, _, _, r, size, _, fp in _groups_of(batches, parts):
+            if key != at:
+                at, leaders = key, []
+            left, k = np.arange(len(r)), 0
+            while len(left):
+                if k == len(leaders):
+                    if k == LEADERS:
+                        break
+                    leaders.append((r[left[0]], size[left[0]], fp[left[0]]))
+                number, n, bits = leaders[k]
+                near = (np.bitwise_count(fp[left] ^ bits).sum(axis=1, dtype=np.int64) <= radius) & _sizes_allow(size[left], n, least)
+                if near.any():
+                    yield found(r[left[near]], np.full(int(near.sum()), number))
+                left, k = left[~near], k + 1
+
+    def all_pairs(x, y, short: bool, same: bool):
+        limit = 64 * parts if short else radius
+        for i, j in _near_by_tile(x[3], y[3], limit):
+            ok = (x[2][i] != y[2][j]) & _sizes_allow(x[1][i], y[1][j], least)
+            if same:
+                ok &= i < j
+            if ok.any():
+                yield found(x[0][i[ok]], y[0][j[ok]])
+
+    def compared(batches):
+        at, held, short_ = None, None, False
+        for key, short, guest, *row in _groups_of(batches, parts):
+            if key != at:
+                if held is not None and len(held[0]) > 1:
+                    yield from all_pairs(held, held, short_, True)
+                at, held, short_ = key, None, short
+            if not guest:
+                held = row if held is None else [np.concatenate([u, v]) for u, v in zip(held, row)]
+            elif held is not None:
+                yield from all_pairs(held, row, short, False)
+        if held is not None and len(held[0]) > 1:
+            yield from all_pairs(held, held, short_, True)
+
+    sorted_ = rows.repartition(shared.partitions(spark), "key", "block").sortWithinPartitions(*order)
+    return sorted_.mapInArrow(led if first else compared, "a long, b long").distinct()
+
+
+def jaccard_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of `pairs` (a, b) whose `sets` (r, h: sorted 64-bit hashes of distinct shingles) have a Jaccard similarity of
+    `similarity` at least."""
     least = Fraction(str(similarity))
 
     def true(batches):
         import pyarrow as pa
 
-        last, x = None, frozenset()
+        last, x = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             keep = []
-            for k, (i, j) in enumerate(zip(a, b)):
+            for k, i in enumerate(a.tolist()):
                 if i != last:
-                    last, x = i, frozenset(shingles(batch.column(2)[k].as_py(), words))
-                y = frozenset(shingles(batch.column(3)[k].as_py(), words))
-                both = len(x & y)
+                    last, x = i, np.frombuffer(batch.column(2)[k].as_py(), "<u8")
+                y = np.frombuffer(batch.column(3)[k].as_py(), "<u8")
+                both = int(np.intersect1d(x, y, assume_unique=True).size)
                 if both * least.denominator >= (len(x) + len(y) - both) * least.numerator:
                     keep.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
-    first, second = texts.select(F.col("r").alias("a"), F.col("text").alias("x")), texts.select(F.col("r").alias("b"), F.col("text").alias("y"))
+    first, second = sets.select(F.col("r").alias("a"), F.col("h").alias("x")), sets.select(F.col("r").alias("b"), F.col("h").alias("y"))
     return pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(true, "a long, b long")
 
 
+def similar_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between `classes` (r, size, fp of `set_prints`) that keep all components of the exact similarity.
+
+    First the members of each tile are held against a few leaders; groups of copies become components by that, in about
+    as many pairs as they have members. Then all pairs of different components are compared. Every pair of either pass is
+    held against the shingles' sets."""
+    words, parts, radius, similarity = (SIMILAR[k] for k in ("words", "parts", "radius", "similarity"))
+
+    def sets_of(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(hashed(shingles(t, words))).astype("<u8").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["r", "h"])
+
+    members = shared.written(tile_members(classes, texts, words, parts, similarity), "members")
+    met = members.select("r").distinct()
+    sets = shared.written(texts.join(met, "r", "left_semi").select("r", "text").mapInArrow(sets_of, "r long, h binary"), "sets")
+    led = shared.written(jaccard_links(candidates(members.withColumn("comp", F.col("r")), parts, radius, similarity, True), sets, similarity), "led")
+    root = components(led)
+    placed = members.join(root.select(F.col("node").alias("r"), "root"), "r", "left").withColumn("comp", F.coalesce("root", "r")).drop("root")
+    rest = jaccard_links(candidates(placed, parts, radius, similarity, False), sets, similarity)
+    return led.unionByName(rest)
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """`docs` (with columns doc_id and text) without near-duplicates: of each group the row of least doc_id stays, as it
     is; rows without a doc_id come last, and rows that tie are told apart by their place in the input. Rows with one set of
     shingles are one class, whose number is its least row; classes are linked where the sets' similarity is high enough."""
     row = shared.free_name(docs, "row")
-    words, parts, radius, similarity = (SIMILAR[k] for k in ("words", "parts", "radius", "similarity"))
     fixed = shared.written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     texts = shared.id_text(fixed, row).withColumnRenamed("doc_id", "r")
-    prints = fingerprints(fixed, words, parts, row, SIMILAR["repeats"], whole=True).withColumnRenamed("doc_id", "r")
+    prints = set_prints(fixed, SIMILAR["words"], SIMILAR["parts"], row).withColumnRenamed("doc_id", "r")
     ids = fixed.select(F.col(row).alias("r"), "doc_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("r"))).alias("first")
     classes = shared.written(prints.join(ids, "r").groupBy("fp").agg(F.min("r").alias("r"), F.max("size").alias("size"), first), "classes")
-    named = classes.select(F.concat(F.substring("fp", 1, 8 * parts), F.unhex(F.lpad(F.hex("r"), 16, "0"))).alias("fp"), "size")
-    near = links(named, classes.count(), radius, parts, similarity).union(short_pairs(classes.select("r", "size"), texts, words, similarity)).distinct()
-    linked = components(jaccard_links(shared.written(near, "candidates"), texts, words, similarity))
+    linked = components(similar_links(classes.select("r", "size", "fp"), texts))
     group = F.coalesce("root", "r").alias("g")
     stays = classes.join(linked, classes["r"] == linked["node"], "left").select(group, "first").groupBy("g").agg(F.min("first").alias("first")).select(F.col("first.r").alias(row))
     return fixed.join(stays, row, "left_semi").drop(row)

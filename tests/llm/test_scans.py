@@ -593,3 +593,59 @@ def test_one_of_each_by_all_pairs(spark):
                 root = {x: low if r == high else r for x, r in root.items()}
     got = simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(r.doc_id for r in got) == sorted(set(root.values()))
+
+
+def test_blocks_of_a_hot_tile_by_all_pairs(spark, monkeypatch):
+    """Tiles of one text's copies with changes, cut into blocks of eight: components as by all pairs."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = random.Random(31)
+    base, rows = _short_of(rng, 160), []
+    for k in range(120):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 7, 9])):
+            copy[rng.randrange(160)] = f"n{rng.randrange(999)}"
+        rows.append((k, " ".join(copy)))
+    short = _short_of(rng, 30)
+    for k in range(120, 180):
+        copy = list(short)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            copy[rng.choice([0, 1, 28, 29, rng.randrange(30)])] = f"n{rng.randrange(999)}"
+        rows.append((k, " ".join(copy)))
+    root = {d: d for d, _ in rows}
+    for d, t in rows:
+        for e, u in rows:
+            if d < e and root[d] != root[e] and _jaccard(t, u) >= 0.8:
+                low, high = sorted((root[d], root[e]))
+                root = {x: low if r == high else r for x, r in root.items()}
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == sorted(set(root.values()))
+    prints = {d: _simhash(t) for d, t in rows}
+    want = _groups(prints, 2)
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == want
+
+
+def test_bands_meet_at_the_similarity():
+    rng, missed = random.Random(32), 0
+    for _ in range(200):
+        n = rng.randrange(70, 600)
+        a = _short_of(rng, n)
+        b = list(a)
+        while _jaccard(" ".join(a), " ".join([*b, f"new{len(b)}"])) >= 0.8:
+            b.append(f"new{len(b)}")
+        x, y = (simhash.bands(np.unique(simhash.hashed(simhash.shingles(" ".join(t), 5)))) for t in (a, b))
+        missed += not (x == y).any()
+    assert missed == 0
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, task string, comp int"
+    (tmp_path / "e").mkdir()
+    empty = _saved(spark, tmp_path / "e", [], schema)
+    assert corpus_pipeline.run(spark, empty).collect() == []
+    rng = random.Random(40)
+    long = " ".join(rng.choice(WORDS) + str(rng.randrange(3000)) for _ in range(60_000)) + "."
+    rows = [(1, long, "en", "s", len(long), "t", 1), (2, long, "en", "s", len(long), "t", 2), (3, None, None, None, None, None, None), (3, None, None, None, None, None, None), (4, "", "en", "s", 0, "t", 4), (None, "some plain words of no importance, as they come.", "en", "s", 40, "t", 5)]
+    (tmp_path / "o").mkdir()
+    got = corpus_pipeline.run(spark, _saved(spark, tmp_path / "o", rows, schema)).collect()
+    assert {r.doc_id for r in got} == {1, 3, None}
+    assert sum(r.length for r in got if r.doc_id == 1) == next(r.doc_tokens for r in got if r.doc_id == 1) > 60_000
