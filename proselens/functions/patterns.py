@@ -65,7 +65,42 @@ def phrase(text: str, bounded: bool = True) -> str:
     return head + body + CLOSE
 
 
-def panel(*phrases: str) -> str:
+class Panel(str):
+    """A pattern that knows `needles`: lower-case strings of which every match has one. A text without any is passed over
+    before the pattern is tried."""
+
+    needles: frozenset[str]
+
+    @classmethod
+    def of(cls, pattern: str, needles) -> Panel:
+        made = cls(pattern)
+        made.needles = frozenset(needles)
+        return made
+
+
+def needles(text: str) -> set[str]:
+    """Lower-case strings of which every match of a phrase has one: the longest run of plain words that it can't do
+    without, or the longest plain parts of the alternatives of a word."""
+    best: tuple[int, set[str]] = (0, set())
+    run: list[str] = []
+
+    def offer(found: set[str]) -> None:
+        nonlocal best
+        if min(map(len, found), default=0) >= best[0]:
+            best = min(map(len, found), default=0), found
+
+    for token in [*text.split(" "), ""]:
+        if token and re.fullmatch(r"[a-z0-9,:_-]+", token):
+            run.append(token.replace("_", " "))
+            offer({" ".join(run)})
+            continue
+        run = []
+        if token and token[0] not in "(<#":
+            offer({max(re.findall(r"[a-z0-9 -]+", x.lower().rstrip("~+^").replace("_", " ")) or [""], key=len) for x in token.split("/")})
+    return best[1] if best[0] else set()
+
+
+def panel(*phrases: str) -> Panel:
     """One pattern for all phrases. The boundary and the possible first letters are tried once a place, before any
     phrase is: most places of a text then cost a look at two characters."""
     plain = [p for p in phrases if ord(p.lstrip("(")[0]) < 128]
@@ -80,7 +115,8 @@ def panel(*phrases: str) -> str:
                     break
         head = OPEN + (f"{AHEAD}{''.join(sorted(firsts))}]" if all(c.isalpha() for c in firsts) else "")
         out.append(head + ("" if head == OPEN else END_AHEAD) + "(?:" + "|".join(phrase(p, False) for p in plain) + ")" + CLOSE)
-    return "(?:" + "|".join(out + other) + ")"
+    found = [needles(p) for p in phrases]
+    return Panel.of("(?:" + "|".join(out + other) + ")", set().union(*found) if all(found) else ())
 
 
 def java(pattern: str) -> str:

@@ -94,7 +94,7 @@ def grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.transform(zipped, lambda z: F.concat_ws(" ", *[z[f"w{k}"] for k in range(n)])))
 
 
-def phrase_differential(files: DataFrame, most: int = 3, support: int = SUPPORT, top: int = 150) -> DataFrame:
+def phrase_differential(files: DataFrame, most: int = 4, support: int = SUPPORT, top: int = 150) -> DataFrame:
     """Phrases of up to `most` words that are in `support` AI files or more, by smoothed ratio of class rates: the first
     `top`. A longer phrase is counted only where the phrase without its last word had the support."""
     sizes = {r.label: r["count"] for r in files.groupBy("label").count().collect()}
@@ -112,7 +112,9 @@ def phrase_differential(files: DataFrame, most: int = 3, support: int = SUPPORT,
     return out.withColumn("ratio", F.round(ratio, 6)).orderBy(F.desc("ratio"), "phrase").limit(top)
 
 
-#: Candidate patterns: name, scope (line, file, first-line or last-block) and pattern.
+_COMMENT = r"(?im)^\s*(?://+|#+|\*+|<!--)\s*"
+_VIOLET = "(?:fuchsia|indigo|purple|violet)"
+#: Candidate patterns: name, scope (line, file, first-line or last-block) and pattern. A comment is a line that begins as one.
 CANDIDATES = [
     ("advisory hedge", "line", r"(?i)it is always (?:essential|important|recommended) to \w+"),
     ("literal line break", "line", r"\\n\\n"),
@@ -121,6 +123,35 @@ CANDIDATES = [
     ("recap at the end", "last-block", r"(?i)^(?:in conclusion|overall|ultimately)"),
     ("label at the head", "first-line", r"(?i)^(?:title|t[íi]tulo|subject):"),
     ("long file, 300 lines", "file", "300"), ("long file, 500 lines", "file", "500"), ("long file, 1000 lines", "file", "1000"),
+    ("stand-in comment", "line", _COMMENT + r"(?:this is (?:just )?a (?:placeholder|stub|mock)|in (?:a real|production)|simulat(?:e|ed|es|ing)\b|for (?:demo|demonstration)\b)"),
+    ("example usage comment", "line", _COMMENT + r"(?:example|sample) usage\b"),
+    ("residue in other words", "line", r"(?i)(?:let me know if (?:anything|there)|here is your (?:revised|updated)|segue (?:abaixo )?a vers[ãa]o (?:corrigida|revisada))"),
+    ("necessity in Portuguese", "line", r"(?i)(?:[ée] (?:fundamental|essencial|necess[áa]rio|imprescind[íi]vel) que)"),
+    ("fence tag at the head", "first-line", r"(?i)^\s*(?:python|javascript|typescript|tsx|go|rust|html|css)\s*$"),
+    ("chat prose in code", "line", r"(?im)^\s*(?:sure|certainly|of course)[,!] (?:here|below)"),
+    ("demo data comment", "line", _COMMENT + r"(?:generate|create|build|define) (?:some )?(?:dummy|fake|mock|sample) \w+"),
+    ("simulation comment", "line", _COMMENT + r"simulat(?:e|es|ing) (?:a|an|the|some)\b"),
+    ("category comment", "line", _COMMENT + r"(?:helper|utility|main) function\b"),
+    ("constructor comment", "line", _COMMENT + r"\w+ (?:creates and )?initiali[sz]es a new \w+"),
+    ("invitation to extend", "line", _COMMENT + r"(?:more|additional|other) \w+ can be added\b"),
+    ("tutorial comment", "line", _COMMENT + r"(?:you can|feel free to|make sure (?:to|you)|don't forget to)\b"),
+    ("represents the structure", "line", _COMMENT + r"\w+ represents (?:the structure of|an?|the)\b"),
+    ("file name comment", "first-line", r"(?i)^\s*//\s*[\w./-]+\.(?:ts|tsx|js|jsx)\s*$"),
+    ("function to comment", "line", _COMMENT + r"function to \w+"),
+    ("import comment", "line", _COMMENT + r"import (?:the )?(?:necessary|required|needed)\b"),
+    ("output comment", "line", r"(?im)//\s*(?:output|expected|prints|logs):\s*\S"),
+    ("self-labelled deliverable", "first-line", r"(?i)^(?:relat[óo]rio|resumo|reda[çc][ãa]o|artigo|texto revisado)\s*:"),
+    ("given source material", "line", r"(?i)(?:o texto|o documento|o material) (?:fornecido|apresentado|enviado)"),
+    ("assurance clause", "line", r"(?i), (?:garantindo|assegurando) (?:que|assim)\b"),
+    ("role hedge", "line", r"(?i)desempenh(?:a|am|ou|ar) um papel (?:fundamental|ativo|central|crucial|de destaque)"),
+    ("invitation to reflect", "line", r"(?i)nos convid(?:a|am) a (?:refletir|repensar)"),
+    ("unattributed perception", "line", r"(?i)pode(?:m)? ser vist[oa]s? como"),
+    ("gradient text", "line", r"(?i)(?:background-clip:\s*text|bg-clip-text)"),
+    ("violet gradient", "line", r"(?:from|via|to)-" + _VIOLET + r"-\d{2,3}"),
+    ("violet hex", "line", r"(?i)#(?:8b5cf6|7c3aed|a855f7|6366f1|6d28d9)\b"),
+    ("violet accent", "line", r"(?:bg|text|border|ring)-" + _VIOLET + r"-\d{2,3}"),
+    ("violet theme", "line", r"--(?:primary|accent):\s*2(?:5[0-9]|6[0-9]|7[0-9])\b"),
+    ("separator glyph", "line", r"[A-Za-z0-9)] (?:•|→|&middot;|&bull;) [A-Za-z0-9(]"),
 ]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A directive opens a comment: `proselens: ignore`, with codes in brackets or none, or `ignore-file`.
@@ -84,12 +84,12 @@ def beyond_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     return ranked.join(baseline, "fingerprint", "left").where(F.col("rank") > F.coalesce("accepted", F.lit(0))).select(*findings.columns)
 
 
-def with_catalog(findings: DataFrame) -> DataFrame:
-    """Findings with name, tier and message; the catalogue has 57 rows."""
+def with_catalog(findings: DataFrame, custom: dict[str, dict] | None = None) -> DataFrame:
+    """Findings with name, tier, message and fix; the catalogue has 57 rows and one for each rule of the user's."""
     from proselens.plans import catalog
 
-    rules = catalog.frame(findings.sparkSession).select("code", "name", "tier")
-    return findings.join(F.broadcast(rules), "code", "left").withColumn("message", F.concat(F.col("name"), F.lit(" at "), F.col("line").cast("string")))
+    rules = catalog.frame(findings.sparkSession, custom).select("code", "name", "tier", "message", "fix")
+    return findings.join(F.broadcast(rules), "code", "left")
 
 
 def stats(findings: DataFrame) -> DataFrame:
@@ -102,11 +102,13 @@ def ordered(findings: DataFrame) -> DataFrame:
 
 
 def as_text(findings: DataFrame) -> DataFrame:
-    return findings.select(F.concat_ws(" ", F.concat_ws(":", "path", F.col("line").cast("string"), F.col("col").cast("string")), "code", "message").alias("value"))
+    """A line a finding, and what may be done about it on a line below."""
+    said = F.concat_ws(" ", F.concat_ws(":", "path", F.col("line").cast("string"), F.col("col").cast("string")), "code", "message")
+    return findings.select(F.concat_ws("\n    fix: ", said, "fix").alias("value"))
 
 
 def as_json(findings: DataFrame) -> DataFrame:
-    return findings.select(F.to_json(F.struct("code", "name", "tier", "path", "line", "col", "message")).alias("value"))
+    return findings.select(F.to_json(F.struct("code", "name", "tier", "path", "line", "col", "message", "fix")).alias("value"))
 
 
 def as_markdown(findings: DataFrame) -> DataFrame:
@@ -120,7 +122,7 @@ def as_sarif(findings: DataFrame) -> DataFrame:
     level = F.create_map(*[F.lit(x) for x in ("A", "error", "B", "warning", "C", "note")])[F.col("tier")]
     region = F.struct(F.col("line").alias("startLine"), F.col("col").alias("startColumn"))
     where = F.array(F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation")))
-    return findings.select(F.to_json(F.struct(F.col("code").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), where.alias("locations"))).alias("value"))
+    return findings.select(F.to_json(F.struct(F.col("code").alias("ruleId"), level.alias("level"), F.struct(F.concat_ws(". Fix: ", "message", "fix").alias("text")).alias("message"), where.alias("locations"))).alias("value"))
 
 
 def custom(docs: DataFrame, code: str, kind: str, value: str | int, files: str | None = None) -> DataFrame:
@@ -139,3 +141,12 @@ def custom(docs: DataFrame, code: str, kind: str, value: str | int, files: str |
     if kind == "require":
         return whole(rows.where(~F.col("text").rlike(str(value))), 1)
     raise ValueError(f"unknown kind of rule: {kind}")
+
+
+def write_baseline(findings: DataFrame, path: str) -> None:
+    """The baseline of `findings` as one JSON object a line: fingerprint and accepted."""
+    baseline_of(findings).write.mode("overwrite").json(path)
+
+
+def read_baseline(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("fingerprint string, accepted int").json(path)

@@ -7,11 +7,13 @@ rows, by path.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proselens.functions import lexicon as L
-from proselens.functions.patterns import exact_java, java, phrase
+from proselens.functions.patterns import Panel, exact_java, java, phrase
 
 NATLANGS = ("en", "pt")
 HEADING = r"^ {0,3}#{1,6}\s+\S"
@@ -29,7 +31,28 @@ def any_of(panels: dict[str, str] | str, natlangs=NATLANGS) -> str:
     if isinstance(panels, str):
         return panels
     found = [panels[n] for n in natlangs if n in panels]
-    return found[0] if len(found) == 1 else "(?:" + "|".join(found) + ")" if found else r"(?!)"
+    if not found:
+        return r"(?!)"
+    return either(*found) if len(found) > 1 else found[0]
+
+
+def either(*patterns: str) -> str:
+    """One pattern for several; it has needles where all of them have."""
+    made = "(?:" + "|".join(patterns) + ")"
+    held = [getattr(p, "needles", frozenset()) for p in patterns]
+    return Panel.of(made, frozenset().union(*held)) if all(held) else made
+
+
+def has_any(text: Column, needles) -> Column:
+    """Whether a text has one of the lower-case `needles` in any case. Letters whose lower case isn't the plain one that they
+    also match count as a hit."""
+    words = sorted(needles)
+    return F.transform(F.array(F.lower(text)), lambda t: reduce(Column.__or__, [F.contains(t, F.lit(w)) for w in [*words, "\u017f", "\u0131", "\u0130"]]))[0]
+
+
+def likely(docs: DataFrame, pattern: str) -> DataFrame:
+    """`docs` without those that have none of the pattern's needles."""
+    return docs.where(has_any(F.col("text"), pattern.needles)) if getattr(pattern, "needles", None) else docs
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -42,7 +65,9 @@ def words(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    return F.size(words(text))
+    """As many as `words`: the parts between white space, less the empty ones that white space at either end leaves."""
+    ends = F.substring(text, 1, 1).rlike(r"\s").cast("int") + F.substring(text, -1, 1).rlike(r"\s").cast("int")
+    return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, r"\s+", -1)) - ends)
 
 
 def fixed(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
@@ -63,7 +88,7 @@ def at_match(rows: DataFrame, code: str, pattern: str, text: str = "text") -> Da
 
 def first_per_line(docs: DataFrame, code: str, pattern: str, unless: str | None = None, tail_group: bool = False) -> DataFrame:
     """A finding on each line that matches, at its leftmost match (or at the group that ends it)."""
-    hit = lines(docs).where(F.col("s").rlike(pattern))
+    hit = lines(docs.where(F.col("text").rlike("(?m)" + pattern))).where(F.col("s").rlike(pattern))
     if unless:
         hit = hit.where(~F.col("s").rlike(unless))
     col = F.regexp_instr("s", F.lit(pattern))
@@ -85,7 +110,7 @@ def template(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
 
 
 def cliche(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
-    return first_per_line(docs, "PL014", java(any_of(L.CLICHE, natlangs)))
+    return first_per_line(likely(docs, any_of(L.CLICHE, natlangs)), "PL014", java(any_of(L.CLICHE, natlangs)))
 
 
 def opener(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
@@ -101,11 +126,11 @@ def contrast(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
 
 
 def puffery(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
-    return first_per_line(docs, "PL024", java(any_of(L.PUFFERY, natlangs)))
+    return first_per_line(likely(docs, any_of(L.PUFFERY, natlangs)), "PL024", java(any_of(L.PUFFERY, natlangs)))
 
 
 def weasel(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
-    return first_per_line(docs, "PL025", java(any_of(L.WEASEL, natlangs)), unless=exact_java(L.CITED))
+    return first_per_line(likely(docs, any_of(L.WEASEL, natlangs)), "PL025", java(any_of(L.WEASEL, natlangs)), unless=exact_java(L.CITED))
 
 
 def colon_reveal(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
@@ -116,51 +141,64 @@ def colon_reveal(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
     return _findings(hit, "PL026", F.col("i") + 1, start)
 
 
-def dense(docs: DataFrame, code: str, pattern: str, least: int, repeats: int = 2) -> DataFrame:
+def dense(docs: DataFrame, code: str, panel: str, least: int, repeats: int = 2) -> DataFrame:
     """One finding a document where matches reach max(least, ceil(least * words / 1000)) or one phrase repeats."""
-    found = fixed(docs.where(F.col("text").rlike(pattern)), ["path", "text"], m=F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.lower))
+    pattern = java(panel)
+    found = fixed(likely(docs, panel).where(F.col("text").rlike(pattern)), ["path", "text"], m=F.array_sort(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.lower)))
     n, floor = F.size("m"), F.greatest(F.lit(least), F.ceil(F.lit(least) * n_words(F.col("text")) / 1000))
-    often = F.exists(F.array_distinct("m"), lambda x: F.size(F.filter("m", lambda y: y == x)) >= repeats)
+    # in order, a phrase that repeats is the same as the one so many places on
+    often = F.exists(F.arrays_zip(F.col("m").alias("a"), F.slice("m", repeats, 1 << 30).alias("b")), lambda z: z["a"] == z["b"])
     return at_match(found.where((n >= floor) | often), code, pattern)
 
 
 def hedging(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
-    return dense(docs, "PL015", java(any_of(L.HEDGING, natlangs)), 3)
+    return dense(docs, "PL015", any_of(L.HEDGING, natlangs), 3)
 
 
 def hedge_stack(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
     """Two hedges side by side: a finding for every occurrence."""
-    return each_match(docs, "PL015", java(any_of(L.HEDGE_STACK, natlangs)))
+    return each_match(likely(docs, any_of(L.HEDGE_STACK, natlangs)), "PL015", java(any_of(L.HEDGE_STACK, natlangs)))
+
+
+def places(marked: Column, mark: str) -> Column:
+    """Places, from 1, of every `mark` in a string: one look at each character."""
+    return F.transform(F.filter(F.transform(F.split(marked, "", -1), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda z: z["c"] == mark), lambda z: z["i"] + 1)
 
 
 def each_match(docs: DataFrame, code: str, pattern: str) -> DataFrame:
-    """A finding for every match: places are the lengths of what lies between matches and of the matches before."""
-    hit = lines(docs).where(F.col("s").rlike(pattern)).withColumn("m", F.regexp_extract_all("s", F.lit(pattern), F.lit(0))).withColumn("p", F.split("s", pattern, -1))
-    at = F.transform(F.sequence(F.lit(1), F.size("m")), lambda k: F.aggregate(F.slice("p", 1, k), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("m", 1, k - 1), F.lit(0), lambda a, x: a + F.length(x)) + 1)
-    return _findings(hit.select("path", "i", F.explode(at).alias("c")), code, F.col("i") + 1, F.col("c"))
+    """A finding for every match: a sign is put before each, whose place, less the signs before, is the match's."""
+    hit = lines(docs.where(F.col("text").rlike("(?m)" + pattern))).where(F.col("s").rlike(pattern))
+    marked = F.regexp_replace(F.replace("s", F.lit("\u0001"), F.lit("\u0002")), f"(?:{pattern})", "\u0001$0")
+    found = hit.select("path", "i", F.posexplode(places(marked, "\u0001")).alias("k", "c"))
+    return _findings(found, code, F.col("i") + 1, F.col("c") - F.col("k"))
 
 
 def promo(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
-    return dense(docs, "PL031", java(any_of(L.PROMO, natlangs)), 3)
+    return dense(docs, "PL031", any_of(L.PROMO, natlangs), 3)
 
 
 def hyphens(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
-    return dense(docs, "PL032", java(L.HYPHENS), 4, 3)
+    return dense(docs, "PL032", L.HYPHENS, 4, 3)
 
 
 def vocabulary(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
     strong, weak = java(L.VOCABULARY_STRONG), java(L.VOCABULARY_WEAK)
-    either = java(f"(?:{L.VOCABULARY_STRONG}|{L.VOCABULARY_WEAK})")
-    kinds = F.size(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(either), F.lit(0)), lambda x: F.lower(F.substring(x, 1, 6)))))
-    found = fixed(docs.where(F.col("text").rlike(either)), ["path", "text"], n=n_words(F.col("text")), w=2 * F.regexp_count("text", F.lit(strong)) + F.regexp_count("text", F.lit(weak)), kinds=kinds)
+    all_words = java(f"(?:{L.VOCABULARY_STRONG}|{L.VOCABULARY_WEAK})")
+    kinds = F.size(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(all_words), F.lit(0)), lambda x: F.lower(F.substring(x, 1, 6)))))
+    # four kinds of words are needed, each of which begins like one of the list
+    begins = sorted({x[:6] for x in L.VOCABULARY_STRONG.needles | L.VOCABULARY_WEAK.needles})
+    some = F.transform(F.array(F.lower(F.col("text"))), lambda t: F.size(F.filter(F.array(*map(F.lit, begins)), lambda w: F.contains(t, w))))[0]
+    odd = F.col("text").rlike("[\u017f\u0131\u0130]")
+    found = fixed(docs.where((some >= 4) | odd), ["path", "text"], n=n_words(F.col("text")), w=2 * F.regexp_count("text", F.lit(strong)) + F.regexp_count("text", F.lit(weak)), kinds=kinds)
     flagged = F.when(F.col("n") >= 250, (F.floor(F.try_divide(F.col("w") * 1000, F.col("n"))) >= 12) & (F.col("kinds") >= 6)).otherwise((F.col("w") >= 6) & (F.col("kinds") >= 4))
-    return at_match(found.where(flagged), "PL016", either)
+    return at_match(found.where(flagged), "PL016", all_words)
 
 
 def parallelism(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
     # words and gaps are taken whole: giving one back letter by letter never helps
     triple, negative, trailing = exact_java(L.TRICOLON).replace(r"\w+", r"\w++").replace(r"\s+", r"\s++"), java(any_of(L.NEGATIVE_PARALLELISM, natlangs)), exact_java(any_of(L.TRAILING_PARTICIPLE, natlangs))
-    counts = fixed(docs, ["path", "text"], a=F.regexp_count("text", F.lit(triple)), b=F.regexp_count("text", F.lit(negative)) + F.regexp_count("text", F.lit(trailing)))
+    some = has_any(F.col("text"), L.PARALLEL_NEEDLES) | F.col("text").rlike(r"(?s),\s+(?:and|or)\s.*,\s+(?:and|or)\s.*,\s+(?:and|or)\s")
+    counts = fixed(docs.where(some), ["path", "text"], a=F.regexp_count("text", F.lit(triple)), b=F.regexp_count("text", F.lit(negative)) + F.regexp_count("text", F.lit(trailing)))
     flagged = counts.where("b >= 2 or a >= 3")
     place = lambda p: F.when(F.col("text").rlike(p), F.regexp_instr("text", F.lit(p)))
     at = F.when(F.col("b") >= 2, F.least(place(negative), place(trailing))).otherwise(place(triple))
@@ -170,13 +208,12 @@ def parallelism(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
 
 def dashes(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
     """Every em dash, and every en dash that isn't between digits, unless it begins the line's text."""
-    hit = lines(docs).where(F.col("s").rlike("[—–]"))
+    hit = lines(docs.where(F.contains("text", F.lit("—")) | F.contains("text", F.lit("–")))).where(F.col("s").rlike("[—–]"))
     # an exempt dash is put out of sight by a sign of the same length
     between = F.regexp_replace("s", r"(\d ?)–( ?\d)", "$1\u0002$2")
     kept = hit.withColumn("v", F.regexp_replace(between, r"^(\s*(?:[-*+>]\s+)*)[—–]", "$1\u0002"))
-    parts = kept.withColumn("p", F.split("v", "[—–]", -1)).where(F.size("p") > 1)
-    at = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda k: F.aggregate(F.slice("p", 1, k), F.lit(0), lambda a, x: a + F.length(x)) + k)
-    return _findings(parts.select("path", "i", F.explode(at).alias("c")), "PL018", F.col("i") + 1, F.col("c"))
+    one_kind = F.translate("v", "–", "—")
+    return _findings(kept.where(F.col("v").rlike("[—–]")).select("path", "i", F.explode(places(one_kind, "—")).alias("c")), "PL018", F.col("i") + 1, F.col("c"))
 
 
 def smart_quotes(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
@@ -220,7 +257,8 @@ def headings(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
 
 def filler(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
     said, adverb = java(any_of(L.FILLER, natlangs)), "(?m)" + java(L.FILLER_ADVERB)
-    found = fixed(docs, ["path", "text"], m=F.transform(F.regexp_extract_all("text", F.lit(said), F.lit(0)), F.lower), a=F.regexp_count("text", F.lit(adverb))).where((F.size("m") > 0) | (F.col("a") > 0))
+    some = docs.where(has_any(F.col("text"), any_of(L.FILLER, natlangs).needles | set(L.ADVERBS)))
+    found = fixed(some, ["path", "text"], m=F.transform(F.regexp_extract_all("text", F.lit(said), F.lit(0)), F.lower), a=F.regexp_count("text", F.lit(adverb))).where((F.size("m") > 0) | (F.col("a") > 0))
     weighed = 2 * F.size("m") + F.col("a") >= F.greatest(F.lit(6), F.ceil(6 * n_words(F.col("text")) / 1000))
     return at_match(found.where(weighed | (F.size("m") > F.size(F.array_distinct("m")))), "PL027", f"(?m){said}|{java(L.FILLER_ADVERB)}")
 
@@ -231,18 +269,25 @@ def weak_verbs(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
     both = java(f"(?:{any_of(L.WEAK_VERB, natlangs)}|{any_of(L.VAGUE, natlangs)})")
     # a line with a digit keeps its weak verbs alone
     shown = F.array_join(F.transform(F.split("text", "\n", -1), lambda s: F.when(s.rlike("[0-9]"), F.regexp_replace(s, vague, " ")).otherwise(s)), "\n")
-    found = fixed(docs.where(F.col("text").rlike(both)), ["path"], text=shown, n=n_words(F.col("text")))
+    found = fixed(likely(docs, either(any_of(L.WEAK_VERB, natlangs), any_of(L.VAGUE, natlangs))).where(F.col("text").rlike(both)), ["path"], text=shown, n=n_words(F.col("text")))
     m = fixed(found.where(F.col("text").rlike(both)), ["path", "text", "n"], m=F.transform(F.regexp_extract_all("text", F.lit(both), F.lit(0)), F.lower))
     flagged = (F.size("m") >= F.greatest(F.lit(3), F.ceil(3 * F.col("n") / 1000))) | (F.size("m") > F.size(F.array_distinct("m")))
     return at_match(m.where(flagged), "PL028", both)
 
 
+def blocks(text: Column) -> Column:
+    """array<struct<first, text>>: every block of lines between blank ones that is prose throughout, and its first line from
+    1. Lines that aren't blank are numbered, so that a block knows its place and blank lines are line ends alone."""
+    numbered = F.array_join(F.transform(F.split(text, "\n", -1), lambda s, i: F.when(s.rlike(r"^\s*$"), F.lit("")).otherwise(F.concat(i.cast("string"), F.lit(":"), s))), "\n")
+    cut = F.filter(F.split(numbered, "\n\n+", -1), lambda b: b != "")
+    plain = lambda b: F.regexp_replace(b, r"(?md)^\d+:", "")
+    made = F.transform(cut, lambda b: F.struct((F.regexp_extract(b, r"^\n?(\d+):", 1).cast("int") + 1).alias("first"), plain(F.regexp_replace(b, r"^\n|\n$", "")).alias("text")))
+    return F.filter(made, lambda b: ~F.exists(F.split(b["text"], "\n", -1), lambda s: s.rlike(NOT_PROSE)) & (b["text"] != ""))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """path, first (line), text (lines joined by line ends) of every block that is prose throughout."""
-    blank = F.col("s").rlike(r"^\s*$")
-    numbered = lines(docs).withColumn("g", F.sum(blank.cast("int")).over(Window.partitionBy("path").orderBy("i")))
-    blocks = numbered.where(~blank).groupBy("path", "g").agg(F.min("i").alias("first"), F.max(F.col("s").rlike(NOT_PROSE)).alias("other"), F.array_sort(F.collect_list(F.struct("i", "s"))).alias("l"))
-    return blocks.where("not other").select("path", (F.col("first") + 1).alias("first"), F.array_join("l.s", "\n").alias("text"))
+    return docs.select("path", F.inline(blocks(F.col("text"))))
 
 
 def sentences(text: Column) -> Column:
@@ -275,11 +320,11 @@ def overlong(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
     most = 57 if tuple(natlangs) == ("pt",) else 50
     marked = F.split(F.regexp_replace("text", r"""([.!?]+["')\]]*\s+)""", "$1\u0001"), "\u0001", -1)
     rows = fixed(paragraphs(docs).where(n_words(F.col("text")) > most), ["path", "first", "text"], p=marked)
-    # the place of sentence k is the length of the ones before it; only long ones are exploded
-    ends = F.aggregate("p", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
-    long = F.filter(F.arrays_zip(F.col("p").alias("s"), F.slice(ends, F.lit(1), F.size("p")).alias("at")), lambda z: F.size(words(z["s"])) > most)
-    hit = rows.select("path", "first", "text", F.explode(long).alias("z"))
-    before = F.substring(F.col("text"), F.lit(1), F.col("z.at"))
+    # one walk over the sentences, which keeps the places of long ones alone
+    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("long"))
+    step = lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.when((F.length(x) > 2 * most) & (n_words(x) > most), F.concat(a["long"], F.array(a["at"]))).otherwise(a["long"]).alias("long"))
+    hit = rows.select("path", "first", "text", F.explode(F.aggregate("p", begun, step)["long"]).alias("at"))
+    before = F.substring(F.col("text"), F.lit(1), F.col("at"))
     return _findings(hit, "PL033", F.col("first") + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))), F.length(F.substring_index(before, "\n", -1)) + 1)
 
 
@@ -301,8 +346,13 @@ def synonym_forms() -> list[tuple[str, str, str]]:
 def rotation(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
     """The first place of a set of synonyms where two members have each been used twice within 200 words."""
     forms = docs.sparkSession.createDataFrame(synonym_forms(), "form string, grp string, member string")
-    tokens = paragraphs(docs).select("path", "first", F.posexplode(words(F.col("text"))).alias("w", "t"))
-    hits = tokens.select("path", (F.col("first").cast("long") * 1_000_000 + F.col("w")).alias("at"), "first", F.lower(F.regexp_replace("t", r"^\P{L}+|\P{L}+$", "")).alias("form")).join(F.broadcast(forms), "form")
+    known = sorted({f for f, _, _ in synonym_forms()})
+    plain = F.transform(words(F.col("text")), lambda t, i: F.struct(i.alias("w"), F.lower(F.regexp_replace(t, r"^\P{L}+|\P{L}+$", "")).alias("form")))
+    # a paragraph without any form isn't cut into words
+    firsts = "".join(sorted({f[0] for f in known}))
+    some = r"(?iu)(?<!\p{L})(?=[" + firsts + r"])(?:" + "|".join(known) + r")(?!\p{L})"
+    told = paragraphs(docs).where(F.col("text").rlike(some)).select("path", "first", F.inline(F.filter(plain, lambda z: z["form"].isin(known))))
+    hits = told.select("path", (F.col("first").cast("long") * 1_000_000 + F.col("w")).alias("at"), "first", "form").join(F.broadcast(forms), "form")
     near = F.collect_list("member").over(Window.partitionBy("path", "grp", "first").orderBy("at").rangeBetween(-199, 0))
     twice = F.size(F.filter(F.array_distinct("near"), lambda m: F.size(F.filter("near", lambda x: x == m)) >= 2)) >= 2
     first = hits.withColumn("near", near).where(twice).groupBy("path", "grp").agg(F.min("first").alias("first"))
@@ -330,7 +380,7 @@ def uniformity(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
     """200 words or more of which sentence lengths vary little, and words or word triples repeat much."""
     plain = F.transform(words(F.col("text")), lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}'-]", "")))
     long = docs.where(n_words(F.col("text")) >= 200)
-    rows = fixed(long, ["path"], w=plain, n=F.transform(sentences(F.col("text")), lambda s: n_words(s).cast("double")))
+    rows = fixed(long, ["path", "text"], n=F.transform(sentences(F.col("text")), lambda s: n_words(s).cast("double")))
     total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda a, x: a + f(x))
     mean = F.try_divide(total("n", lambda x: x), F.size("n"))
     cv = F.when(F.size("n") >= 2, F.try_divide(F.sqrt(F.greatest(F.try_divide(total("n", lambda x: x * x), F.size("n")) - mean * mean, F.lit(0.0))), mean))
@@ -338,8 +388,9 @@ def uniformity(docs: DataFrame, natlangs=NATLANGS) -> DataFrame:
     part = F.slice("w", 1, 30_000)
     # triples of the part as one array: the words, the words from the second and from the third, side by side
     triples = F.slice(F.transform(F.arrays_zip(part.alias("a"), F.slice(part, 2, 30_000).alias("b"), F.slice(part, 3, 30_000).alias("c")), lambda z: F.concat_ws(" ", z["a"], z["b"], z["c"])), F.lit(1), F.greatest(F.size(part) - 2, F.lit(0)))
-    # the variation decides first: triples are made only where it is low
-    even = fixed(rows, ["path", "w"], cv=F.round(cv, 6), ttr=F.round(ttr, 6)).where("cv < 0.45")
+    # the variation decides first: words and triples are made only where it is low
+    low = fixed(rows, ["path", "text"], cv=F.round(cv, 6)).where("cv < 0.45")
+    even = fixed(fixed(low, ["path", "cv"], w=plain), ["path", "cv", "w"], ttr=F.round(ttr, 6))
     measured = fixed(even, ["path", "cv", "ttr"], t=triples)
     repeated = F.round(1 - F.try_divide(F.size(F.array_distinct("t")), F.size("t")), 6)
     return _findings(measured.where((F.col("cv") < 0.45) & ((F.col("ttr") < 0.45) | (repeated > 0.04))), "PL041", F.lit(1), F.lit(1))

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from proselens.plans.messages import MESSAGES
+
 CODE, PROSE, STYLE = ("ts", "tsx", "python", "go", "rust"), ("md", "mdx", "txt", "rst", "html"), ("css", "html", "tsx")
 BOTH, EN = ("en", "pt"), ("en",)
 _RAW = """
@@ -128,9 +130,13 @@ def enabled(select=(), extend_select=(), ignore=(), extend_ignore=(), check_impo
     return chosen, [*bad, *bad2, *bad3]
 
 
-def frame(spark: SparkSession) -> DataFrame:
-    """The catalogue as a table."""
-    return spark.createDataFrame([(r.code, r.group, r.name, r.tier, list(r.langs), list(r.natlangs), r.default_on, r.path_gated) for r in RULES.values()], "code string, grp string, name string, tier string, langs array<string>, natlangs array<string>, default_on boolean, path_gated boolean")
+def frame(spark: SparkSession, custom: dict[str, dict] | None = None) -> DataFrame:
+    """The catalogue as a table, with the user's rules (code to rule) after it."""
+    rows = [(r.code, r.group, r.name, r.tier, list(r.langs), list(r.natlangs), r.default_on, r.path_gated, *MESSAGES[r.code]) for r in RULES.values()]
+    for code, rule in (custom or {}).items():
+        name = rule.get("name", code)
+        rows.append((code, "custom", name, rule.get("tier", "B"), [], [], True, "files" in rule, rule.get("message", name), rule.get("fix")))
+    return spark.createDataFrame(rows, "code string, grp string, name string, tier string, langs array<string>, natlangs array<string>, default_on boolean, path_gated boolean, message string, fix string")
 
 
 def fails(worst_tiers, floor: str | None) -> bool:

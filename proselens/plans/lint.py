@@ -40,7 +40,7 @@ def code_findings(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def lint(docs: DataFrame, config: Config | None = None, known: DataFrame | None = None, images: DataFrame | None = None, baseline: DataFrame | None = None) -> DataFrame:
-    """Findings (code, name, tier, path, line, col, message) of documents(path, lang, text): rules, then suppression, then
+    """Findings (code, name, tier, path, line, col, message, fix) of documents(path, lang, text): rules, then suppression, then
     ignores by path, then the baseline. Only derivations that an enabled rule needs are planned."""
     config = config or Config()
     custom = {f"PL{900 + k}": rule for k, rule in enumerate(config.custom_rule)}
@@ -68,5 +68,5 @@ def lint(docs: DataFrame, config: Config | None = None, known: DataFrame | None
             parts.append(pipeline.custom(docs, c, kind, rule[kind], rule.get("files")))
     found = reduce(DataFrame.unionByName, parts, _empty(docs)).where(F.col("code").isin(sorted(codes)))
     found = pipeline.suppressed(found, pipeline.suppressions(docs))
-    full = pipeline.with_catalog(pipeline.path_ignored(found, config.per_file_ignores)).select("code", "name", "tier", "path", "line", "col", "message")
+    full = pipeline.with_catalog(pipeline.path_ignored(found, config.per_file_ignores), custom).select("code", "name", "tier", "path", "line", "col", "message", "fix")
     return pipeline.beyond_baseline(full, baseline) if baseline is not None else full

@@ -130,15 +130,15 @@ def others(sql: dict[str, str]) -> dict[str, str]:
     from proselens.plans.registry import USED
 
     found = "f AS (" + " UNION ALL ".join(f"SELECT code, path, line, col FROM ({sql[c]})" for c in USED) + ")"
-    rules = "rules(code, grp, name, tier, default_on, path_gated) AS (VALUES " + ", ".join(f"('{r.code}', '{r.group}', '{r.name}', '{r.tier}', {r.default_on}, {r.path_gated})" for r in catalog.RULES.values()) + ")"
-    full = f"WITH {found}, {rules}, g AS (SELECT f.*, name, tier, name || ' at ' || line AS message FROM f JOIN rules USING (code)) "
+    rules = "rules(code, grp, name, tier, default_on, path_gated, message, fix) AS (VALUES " + ", ".join(f"('{r.code}', '{r.group}', '{r.name}', '{r.tier}', {r.default_on}, {r.path_gated}, {q(catalog.MESSAGES[r.code][0])}, {q(catalog.MESSAGES[r.code][1])})" for r in catalog.RULES.values()) + ")"
+    full = f"WITH {found}, {rules}, g AS (SELECT f.*, name, tier, message, fix FROM f JOIN rules USING (code)) "
     files = f"files AS (SELECT s.path, s.text, s.source AS dataset, CASE quality WHEN 1 THEN 'human' WHEN 0 THEN 'ai' ELSE 'none' END AS label, {n_words('s.text')} AS words FROM seeded s LEFT JOIN labels USING (doc_id))"
     both_ = f"WITH {SEEDED_SQL}, {files}, {found}, h AS (SELECT code, path, dataset, label, n FROM (SELECT code, path, count(*) AS n FROM f GROUP BY ALL) JOIN files USING (path)) "
     # the same texts with directives: the first line is the directive, so places move down by one
     directed = SEEDED_SQL.replace("text || CASE doc_id", "CASE doc_id % 5 WHEN 0 THEN '<!-- proselens: ignore-file[PL018] -->' || chr(10) WHEN 1 THEN '# proselens: ignore-file' || chr(10) WHEN 2 THEN '// proselens: ignore[PL033, PL020]' || chr(10) ELSE '' END || text || CASE doc_id", 1)
     moved = "f AS (" + " UNION ALL ".join(f"SELECT code, path, line, col FROM ({sql[c].replace(SEEDED_SQL, directed)})" for c in USED) + ")"
     covers = "((k = 0 AND code = 'PL018') OR k = 1 OR (k = 2 AND line <= 2 AND code IN ('PL033', 'PL020')))"
-    grams = " UNION ALL ".join(f"SELECT DISTINCT path, label, {n} AS n, array_to_string(w[k:k + {n - 1}], ' ') AS phrase FROM (SELECT path, label, w, unnest(range(1, len(w) - {n} + 2)) AS k FROM w) x" for n in (1, 2, 3))
+    grams = " UNION ALL ".join(f"SELECT DISTINCT path, label, {n} AS n, array_to_string(w[k:k + {n - 1}], ' ') AS phrase FROM (SELECT path, label, w, unnest(range(1, len(w) - {n} + 2)) AS k FROM w) x" for n in (1, 2, 3, 4))
     scope = {"line": "text", "first-line": "string_split(text, chr(10))[1]", "last-block": "ltrim(list_filter(string_split_regex(text, '\\n[ \\t]*\\n'), lambda b: regexp_matches(b, '\\S'))[-1])"}
     cand = " UNION ALL ".join(f"SELECT label, '{n}' AS candidate, count(*) FILTER (" + (f"len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S'))) >= {p}" if s == "file" else f"regexp_matches({scope[s]}, {q(p)})") + ") AS files FROM files GROUP BY label" for n, s, p in C.CANDIDATES)
     spot = "path || ':' || line || ':' || col"
@@ -155,10 +155,10 @@ def others(sql: dict[str, str]) -> dict[str, str]:
         "pipeline_stats": f"WITH {found} SELECT code, count(*) AS n, count(DISTINCT path) AS files FROM f GROUP BY code",
         "pipeline_sorted": f"WITH {found} SELECT * FROM f ORDER BY path, line, col, code",
         "pipeline_custom_rules": with_(LINES) + f", ing AS (SELECT path, i, string_split(s, 'ing ') AS p FROM lines WHERE regexp_matches(path, '^doc/1[^/]*$')), each_ AS (SELECT path, i, p, unnest(range(1, len(p))) AS k FROM ing) SELECT 'PL900' AS code, path, CAST(i + 1 AS INTEGER) AS line, CAST(list_sum(list_transform(p[1:k], lambda x: length(x))) + (k - 1) * 4 + 1 AS INTEGER) AS col FROM each_ UNION ALL SELECT 'PL901', path, 13, 1 FROM seeded WHERE len(string_split(text, chr(10))) > 12 UNION ALL SELECT 'PL902', path, {place(before('text', 'of_word', '')).replace('of_word', chr(92) + 'bof' + chr(92) + 'b')} FROM seeded WHERE regexp_matches(text, '\\bof\\b') UNION ALL SELECT 'PL903', path, 1, 1 FROM seeded WHERE NOT regexp_matches(text, '[.]')",
-        "sink_text": full + f"SELECT {spot} || ' ' || code || ' ' || message AS value FROM g",
-        "sink_json": full + "SELECT '{\"code\":\"' || code || '\",\"name\":\"' || name || '\",\"tier\":\"' || tier || '\",\"path\":\"' || path || '\",\"line\":' || line || ',\"col\":' || col || ',\"message\":\"' || message || '\"}' AS value FROM g",
+        "sink_text": full + f"SELECT {spot} || ' ' || code || ' ' || message || chr(10) || '    fix: ' || fix AS value FROM g",
+        "sink_json": full + "SELECT '{\"code\":\"' || code || '\",\"name\":\"' || name || '\",\"tier\":\"' || tier || '\",\"path\":\"' || path || '\",\"line\":' || line || ',\"col\":' || col || ',\"message\":\"' || message || '\",\"fix\":\"' || fix || '\"}' AS value FROM g",
         "sink_markdown": full + f"SELECT tier, '- `' || {spot} || '` ' || code || ' ' || message AS value FROM g",
-        "sink_sarif": full + "SELECT '{\"ruleId\":\"' || code || '\",\"level\":\"' || CASE tier WHEN 'A' THEN 'error' WHEN 'B' THEN 'warning' ELSE 'note' END || '\",\"message\":{\"text\":\"' || message || '\"},\"locations\":[{\"physicalLocation\":{\"artifactLocation\":{\"uri\":\"' || path || '\"},\"region\":{\"startLine\":' || line || ',\"startColumn\":' || col || '}}}]}' AS value FROM g",
+        "sink_sarif": full + "SELECT '{\"ruleId\":\"' || code || '\",\"level\":\"' || CASE tier WHEN 'A' THEN 'error' WHEN 'B' THEN 'warning' ELSE 'note' END || '\",\"message\":{\"text\":\"' || message || '. Fix: ' || fix || '\"},\"locations\":[{\"physicalLocation\":{\"artifactLocation\":{\"uri\":\"' || path || '\"},\"region\":{\"startLine\":' || line || ',\"startColumn\":' || col || '}}}]}' AS value FROM g",
         "corpus_cells": both_ + "SELECT code, dataset, label, t.files, count(*) AS hit_files, CAST(sum(n) AS BIGINT) AS findings, round(count(*) / t.files, 6) AS hit_rate, round(1000 * sum(n) / t.words, 6) AS per_1k_words FROM h JOIN (SELECT dataset, label, count(*) AS files, sum(words) AS words FROM files GROUP BY ALL) t USING (dataset, label) GROUP BY code, dataset, label, t.files, t.words",
         "corpus_scoreboard": both_ + "SELECT code, dataset, label, count(*) AS hit_files, CAST(sum(n) AS BIGINT) AS findings FROM h GROUP BY GROUPING SETS ((code, dataset, label), (code, label), (code))",
         "corpus_pooled": both_ + f", z AS (SELECT count(*) FILTER (label = 'human') AS hf, count(*) FILTER (label = 'ai') AS af FROM files), r AS (SELECT code, count(*) FILTER (label = 'human') / hf AS h, count(*) FILTER (label = 'ai') / af AS a, af FROM h, z GROUP BY code, hf, af) SELECT code, round(h, 6) AS human_rate, round(a, 6) AS ai_rate, round(CASE WHEN h + a > 0 THEN a / (h + a) END, 6) AS precision, CASE WHEN h > 0 THEN printf('%.2f', round(a / h, 2)) WHEN a > 0 THEN 'inf' ELSE 'n/a' END AS lift, CASE WHEN af < {C.LEAST_FILES} THEN 'nodata' WHEN h = 0 THEN CASE WHEN a >= {C.LEAST_RATE} THEN 'sep' ELSE 'chance' END WHEN a / h >= {C.STRONG} AND a >= {C.LEAST_RATE} THEN 'sep' WHEN a / h >= {C.WEAK} THEN 'weak' WHEN a / h < {C.INVERSE} THEN 'inv' ELSE 'chance' END AS verdict FROM r",

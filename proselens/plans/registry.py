@@ -97,7 +97,7 @@ def queries() -> dict:
         "derive_lines": lambda s, d: prose.lines(seeds.seeded(s, d)),
         "derive_paragraphs": lambda s, d: prose.paragraphs(seeds.seeded(s, d)),
         "derive_sentences": lambda s, d: seeds.seeded(s, d).select("path", F.posexplode(prose.sentences(F.col("text"))).alias("k", "s")).select("path", "k", F.trim("s").alias("s"), prose.n_words(F.col("s")).alias("words")),
-        "catalog_rules": lambda s, d: catalog.frame(s).select("code", "grp", "name", "tier", "default_on", "path_gated"),
+        "catalog_rules": lambda s, d: catalog.frame(s).select("code", "grp", "name", "tier", "default_on", "path_gated", "message", "fix"),
         "pipeline_select": lambda s, d: findings(s, d).where(F.col("code").isin(sorted(catalog.enabled(select=["format", "PL033"], ignore=["PL020"])[0]))),
         "pipeline_suppression": suppression,
         "pipeline_dead_suppressions": dead,

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proselens.sources.scan import spread
+
 SEEDS = [
     "As an AI language model I cannot browse the internet. I hope this helps!",
     "See turn0search1 and the link utm_source=chatgpt.com for more.",
@@ -57,13 +59,13 @@ def seed() -> Column:
 
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, text, lang, source of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"), "doc_id")
     return docs.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.concat(F.col("text"), seed()).alias("text"), "lang", "source", "doc_id")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, text of every page, with a title or separators seeded into some."""
-    table = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    table = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id")
     extra = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", "<title>[^<]*</title>", "<title> Document </title>")).when(F.col("page_id") % 3 == 1, F.concat("html", F.lit("<p>a · b → c &middot; d</p>"))).otherwise(F.col("html"))
     return table.select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("path"), extra.alias("text"))
 

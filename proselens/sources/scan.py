@@ -55,3 +55,19 @@ def git_paths(repo: str, scope: str, ref: str | None = None) -> list[str]:
     args = {"staged": ["--cached"], "changed": ["HEAD"], "since": [f"{ref}...HEAD"]}[scope]
     said = subprocess.run(["git", "-C", repo, "diff", "--name-only", "--diff-filter=ACMR", "-z", *args], capture_output=True, check=True).stdout
     return [x for x in said.decode().split("\0") if x]
+
+
+#: Bytes of a row group, as writers make them by default: a scan can't be read by more tasks than it has row groups.
+ROW_GROUP = 128 << 20
+
+
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """`table` (a scan) over all cores: where its files hold fewer row groups than there are cores, rows are dealt out by
+    `key`; a scan with enough of them stays as it is."""
+    spark = table.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if max(len(table.inputFiles()), size // ROW_GROUP) >= cores:
+        return table
+    # filters are pushed below an exchange, back into the few tasks of the scan, but not below a generator
+    return table.repartition(cores, key).select(F.inline(F.array(F.struct(*table.columns))))

@@ -4,8 +4,8 @@ import subprocess
 import duckdb
 import pytest
 
-from proselens.operators import pipeline
-from proselens.plans import catalog, registry
+from proselens.operators import pipeline, prose
+from proselens.plans import catalog, lint, registry
 from proselens.sources import config, scan, sinks
 from proselens.streaming import lint as streams
 
@@ -87,11 +87,11 @@ def test_config(tmp_path):
     assert got.select == ["PL014"] and got.language == ["pt"] and got.per_file_ignores == {"a": ["PL018"]}
     for bad in ({"nope": 1}, {"language": "xx"}, {"fail-on-tier": "D"}, {"custom-rule": [{"phrase": "a", "forbid": "b"}]}):
         with pytest.raises(ValueError):
-            config.Config.of(bad)
+            config.config.Config.of(bad)
 
 
 def test_sinks(spark, tmp_path):
-    found = spark.createDataFrame([("PL014", "cliche", "B", "a", 1, 2, "m")], "code string, name string, tier string, path string, line int, col int, message string")
+    found = spark.createDataFrame([("PL014", "cliche", "B", "a", 1, 2, "m", "f")], "code string, name string, tier string, path string, line int, col int, message string, fix string")
     for form in ("text", "json", "sarif", "markdown"):
         sinks.write(found, form, str(tmp_path / form))
     assert spark.read.text(str(tmp_path / "text")).first()[0] == "a:1:2 PL014 m"
@@ -110,3 +110,32 @@ def test_streams(spark, tmp_path):
     assert [(r.path, r.code) for r in spark.read.parquet(f"{out}/0").collect()] == [("a", "PL014")]
     events = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string").option("pathGlobFilter", "events.parquet").parquet(SF)
     assert events.isStreaming and streams.counts(events).columns == ["start", "event_type", "n", "total"]
+
+
+def test_custom_rules_keep_name_tier_and_message(spark):
+    settings = config.Config.of({"select": ["PL900"], "custom-rule": [{"phrase": "foo", "name": "no foo", "tier": "A", "message": "foo is out", "fix": "bar"}]})
+    docs = spark.createDataFrame([("a.md", "md", "some foo here")], "path string, lang string, text string")
+    rows = [tuple(r) for r in lint.lint(docs, settings).collect()]
+    assert rows == [("PL900", "no foo", "A", "a.md", 1, 6, "foo is out", "bar")]
+
+
+def test_every_rule_has_a_message_and_a_fix(spark):
+    rows = catalog.frame(spark).collect()
+    assert len(rows) == 57 and all(r.message and r.fix for r in rows)
+
+
+def test_baseline_files(spark, tmp_path):
+    found = pipeline.with_catalog(spark.createDataFrame([("PL014", "a.md", k, 1) for k in range(1, 4)], "code string, path string, line int, col int"))
+    pipeline.write_baseline(found.where("line < 3"), str(tmp_path / "b"))
+    left = pipeline.beyond_baseline(found, pipeline.read_baseline(spark, str(tmp_path / "b"))).collect()
+    assert [(r.line, r.fix) for r in left] == [(3, "say it plainly")]
+
+
+def test_a_line_of_many_dashes_is_linear(spark):
+    import time
+
+    docs = spark.createDataFrame([("a.md", "word — and " * 100_000)], "path string, text string")
+    began = time.time()
+    assert prose.dashes(docs).count() == 100_000 and time.time() - began < 30
+    found = prose.each_match(docs, "PLX", "and").orderBy("col").limit(2).collect()
+    assert [r.col for r in found] == [8, 19]
