@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Prefix of every column that an operator adds for its own use; `free_name` keeps it clear of the input's columns.
@@ -51,6 +53,31 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bits of a sieve: 4 MB, whatever the number of ids.
+SIEVE_BITS = 1 << 25
+
+
+def sieve(ids: DataFrame, col: str) -> Callable[[Column], Column]:
+    """A test that is true of every value of `ids[col]` and of few others, so that rows which a semi or anti join can't meet
+    needn't move. Its bitmap has a fixed size: with very many ids it lets all pass, and the join then does the work."""
+    spark = ids.sparkSession
+    bit = F.pmod(F.xxhash64(F.col(col)), F.lit(SIEVE_BITS))
+    words = ids.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{col}`), {SIEVE_BITS}) & 63 AS int))")).alias("b"))
+    bits = np.zeros(SIEVE_BITS // 64, dtype=np.int64)
+    for r in words.toLocalIterator():
+        bits[r.w] = r.b
+    known = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def passes(hashes):
+        import pandas as pd
+
+        at = hashes.to_numpy()
+        return pd.Series((known.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return lambda x: passes(F.pmod(F.xxhash64(x), F.lit(SIEVE_BITS)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

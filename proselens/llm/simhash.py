@@ -106,31 +106,36 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, words: int = 3, parts: int = 1, id_col: str = "doc_id") -> DataFrame:
     """doc_id, fp (bytes, little-endian), size (distinct shingles) of every row."""
-    return _printed(docs, id_col, lambda text: (lambda f: (f[0].astype("<u8").tobytes(), f[1]))(fingerprint(text, words, parts)))
 
+    def rows(batches):
+        import pyarrow as pa
 
-def set_prints(docs: DataFrame, words: int, parts: int, id_col: str) -> DataFrame:
-    """As `fingerprints`, of the set of shingles, of which each votes once: fp is followed by 16 bytes that tell different
-    sets apart and by the keys of the bands."""
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for a, b in tokens.in_bytes(texts, 1 << 22):
+                got = [fingerprint(t, words, parts) for t in texts[a:b]]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([f.astype("<u8").tobytes() for f, _ in got], pa.binary()), pa.array([n for _, n in got], pa.int64())], names=["doc_id", "fp", "size"])
 
-    def one(text: str) -> tuple[bytes, int]:
-        h = np.unique(hashed(shingles(text, words)))
-        return voted(h, parts).astype("<u8").tobytes() + hashlib.blake2b(h.tobytes(), digest_size=16).digest() + bands(h).astype("<u8").tobytes(), len(h)
+    return shared.id_text(docs, id_col).mapInArrow(rows, "doc_id long, fp binary, size long")
 
-    return _printed(docs, id_col, one)
 
+def set_prints(rows: DataFrame, words: int, parts: int, most: int) -> DataFrame:
+    """For `rows` (r, doc_id, text): r, doc_id, size (distinct shingles), fp and h. fp is the fingerprint of the set of
+    shingles, of which each votes once, then 16 bytes that tell different sets apart, then the keys of the bands; h are the
+    shingles' hashes in order, where they are `most` or fewer."""
 
-def _printed(docs: DataFrame, id_col: str, one) -> DataFrame:
-    def rows(batches):
+    def made(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in tokens.in_bytes(texts, 1 << 22):
-                got = [one(t) for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([f for f, _ in got], pa.binary()), pa.array([n for _, n in got], pa.int64())], names=["doc_id", "fp", "size"])
+                sets = [np.unique(hashed(shingles(t, words))) for t in texts[a:b]]
+                fps = [voted(h, parts).astype("<u8").tobytes() + hashlib.blake2b(h.tobytes(), digest_size=16).digest() + bands(h).astype("<u8").tobytes() for h in sets]
+                few = [h.astype("<u8").tobytes() if len(h) <= most else None for h in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(h) for h in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(few, pa.binary())], names=["r", "doc_id", "size", "fp", "h"])
 
-    return shared.id_text(docs, id_col).mapInArrow(rows, "doc_id long, fp binary, size long")
+    return rows.mapInArrow(made, "r long, doc_id long, size long, fp binary, h binary")
 
 
 def lane_keys(fp: np.ndarray, lanes: int) -> np.ndarray:
@@ -339,27 +344,25 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, parts: int
 #: every pair is then held against the shingles themselves. Of pairs at 0.8 with more than SHORT shingles, 2 in 10^9 differ
 #: in more than 76 bits.
 SIMILAR = {"words": 5, "parts": 4, "radius": 76, "similarity": 0.8}
-#: Few shingles are few votes, and ties move more bits: pairs with a text of at most so many are found by the shingles.
-SHORT = 64
+#: Few shingles are few votes, and ties move more bits: pairs with a text of at most so many are found by the shingles. At
+#: 0.8 they differ in 48 bits on average at most (4 shingles of 5), give or take 6; unrelated ones in 128, give or take 8.
+SHORT, SHORT_RADIUS = 64, 108
 #: Classes that the members of a tile are first held against, at most; what they leave is compared in full.
 LEADERS = 64
 
 
-def short_keys(classes: DataFrame, texts: DataFrame, words: int, similarity: float, most: int = SHORT) -> DataFrame:
-    """(r, key) of `classes` (r, size): any pair of the similarity in which either has `most` shingles or fewer has a key in
-    common. Shingles are ordered by how many texts have them, rarest first: two sets that share a part s of their shingles
-    share one of the first n - ceil(s n) + 1 of each."""
+def short_keys(sets: DataFrame, similarity: float) -> DataFrame:
+    """(r, key) of `sets` (r, h): any pair of the similarity has a key in common. Shingles are ordered by how many texts have
+    them, rarest first: two sets that share a part s of their shingles share one of the first n - ceil(s n) + 1 of each."""
     least = Fraction(str(similarity))
 
-    def sets(batches):
+    def listed(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = [np.unique(hashed(shingles(t, words))).astype(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["r", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.frombuffer(h, "<u8").astype(np.int64) for h in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["r", "shingles"])
 
-    short = classes.where(F.col("size") <= int(most / least)).select("r")
-    told = shared.written(texts.join(short, "r", "left_semi").select("r", "text").mapInArrow(sets, "r long, shingles array<long>"), "short")
+    told = sets.mapInArrow(listed, "r long, shingles array<long>")
     each = told.select("r", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("s"))
     common = each.groupBy("s").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     ranked = each.join(common, "s", "left").groupBy("r", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("texts", F.lit(1)).alias("texts"), "s"))).alias("ranked"))
@@ -368,12 +371,12 @@ def short_keys(classes: DataFrame, texts: DataFrame, words: int, similarity: flo
     return first.select("r", F.xxhash64(F.lit("shingle"), F.col("e.s")).alias("key"))
 
 
-def tile_members(classes: DataFrame, texts: DataFrame, words: int, parts: int, similarity: float) -> DataFrame:
+def tile_members(classes: DataFrame, few: DataFrame, parts: int, similarity: float) -> DataFrame:
     """(key, short, n, r, size, fp) of the tiles that have two classes or more: a tile is a band's key, among classes of more
     than SHORT shingles, or one of the rarest shingles, among shorter ones."""
     at = 8 * parts + 16
     long_keys = classes.where(F.col("size") > SHORT).select("r", F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("fp", at + 8 * k + 1, 8)) for k in range(BANDS)])).alias("key")).withColumn("short", F.lit(False))
-    keys = shared.written(long_keys.unionByName(short_keys(classes.select("r", "size"), texts, words, similarity).withColumn("short", F.lit(True))), "keys")
+    keys = shared.written(long_keys.unionByName(short_keys(few, similarity).withColumn("short", F.lit(True))), "keys")
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return keys.join(met, "key").join(classes.select("r", "size", F.substring("fp", 1, 8 * parts).alias("fp")), "r").select("key", "short", "n", "r", "size", "fp")
 
@@ -396,7 +399,7 @@ def _sizes_allow(x: np.ndarray, y: np.ndarray, least: Fraction) -> np.ndarray:
 def candidates(members: DataFrame, parts: int, radius: int, similarity: float, first: bool) -> DataFrame:
     """Pairs (a, b), a < b, of `members` (key, short, n, r, size, fp, comp). `first`: each member with a leader of its tile,
     so that a group of copies is linked by about as many pairs as it has members. Else all pairs of different components
-    that the radius allows (in tiles of shorter texts, that the sizes allow).
+    that the sizes and the radius allow (SHORT_RADIUS in tiles of shorter texts).
 
     A tile of more than BLOCK members is cut into blocks, each of which is visited by the members of earlier ones; in the
     first pass, by the tile's least member alone."""
@@ -439,7 +442,7 @@ def candidates(members: DataFrame, parts: int, radius: int, similarity: float, f
                 left, k = left[~near], k + 1
 
     def all_pairs(x, y, short: bool, same: bool):
-        limit = 64 * parts if short else radius
+        limit = SHORT_RADIUS if short else radius
         for i, j in _near_by_tile(x[3], y[3], limit):
             ok = (x[2][i] != y[2][j]) & _sizes_allow(x[1][i], y[1][j], least)
             if same:
@@ -490,8 +493,9 @@ def jaccard_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(true, "a long, b long")
 
 
-def similar_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between `classes` (r, size, fp of `set_prints`) that keep all components of the exact similarity.
+def similar_links(classes: DataFrame, few: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between `classes` (r, size, fp of `set_prints`) that keep all components of the exact similarity. `few`
+    (r, h) has the shingles of the classes with few of them, `texts` (r, text) all rows' texts.
 
     First the members of each tile are held against a few leaders; groups of copies become components by that, in about
     as many pairs as they have members. Then all pairs of different components are compared. Every pair of either pass is
@@ -504,9 +508,10 @@ def similar_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(hashed(shingles(t, words))).astype("<u8").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["r", "h"])
 
-    members = shared.written(tile_members(classes, texts, words, parts, similarity), "members")
+    members = shared.written(tile_members(classes, few, parts, similarity), "members")
     met = members.select("r").distinct()
-    sets = shared.written(texts.join(met, "r", "left_semi").select("r", "text").mapInArrow(sets_of, "r long, h binary"), "sets")
+    passes = shared.sieve(met, "r")  # few texts share a tile: the others don't move
+    sets = shared.written(texts.where(passes(F.col("r"))).join(met, "r", "left_semi").select("r", "text").mapInArrow(sets_of, "r long, h binary"), "sets")
     led = shared.written(jaccard_links(candidates(members.withColumn("comp", F.col("r")), parts, radius, similarity, True), sets, similarity), "led")
     root = components(led)
     placed = members.join(root.select(F.col("node").alias("r"), "root"), "r", "left").withColumn("comp", F.coalesce("root", "r")).drop("root")
@@ -518,17 +523,20 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """`docs` (with columns doc_id and text) without near-duplicates: of each group the row of least doc_id stays, as it
     is; rows without a doc_id come last, and rows that tie are told apart by their place in the input. Rows with one set of
     shingles are one class, whose number is its least row; classes are linked where the sets' similarity is high enough."""
-    row = shared.free_name(docs, "row")
+    row, most = shared.free_name(docs, "row"), int(SHORT / Fraction(str(SIMILAR["similarity"])))
     fixed = shared.written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    texts = shared.id_text(fixed, row).withColumnRenamed("doc_id", "r")
-    prints = set_prints(fixed, SIMILAR["words"], SIMILAR["parts"], row).withColumnRenamed("doc_id", "r")
-    ids = fixed.select(F.col(row).alias("r"), "doc_id")
+    texts = fixed.select(F.col(row).alias("r"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    prints = shared.written(set_prints(texts, SIMILAR["words"], SIMILAR["parts"], most), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("r"))).alias("first")
-    classes = shared.written(prints.join(ids, "r").groupBy("fp").agg(F.min("r").alias("r"), F.max("size").alias("size"), first), "classes")
-    linked = components(similar_links(classes.select("r", "size", "fp"), texts))
+    classes = shared.written(prints.groupBy("fp").agg(F.min("r").alias("r"), F.max("size").alias("size"), first), "classes")
+    few = prints.where("h is not null").select("r", "h").join(classes.select("r"), "r", "left_semi")
+    linked = components(similar_links(classes.select("r", "size", "fp"), few, texts.select("r", "text")))
     group = F.coalesce("root", "r").alias("g")
-    stays = classes.join(linked, classes["r"] == linked["node"], "left").select(group, "first").groupBy("g").agg(F.min("first").alias("first")).select(F.col("first.r").alias(row))
-    return fixed.join(stays, row, "left_semi").drop(row)
+    stays = shared.written(classes.join(linked, classes["r"] == linked["node"], "left").select(group, "first").groupBy("g").agg(F.min("first").alias("first")).select(F.col("first.r").alias(row)), "stays")
+    goes = prints.select(F.col("r").alias(row)).join(stays, row, "left_anti")
+    # most rows stay: those that the sieve doesn't hold back are kept where they are
+    held = shared.sieve(goes, row)(F.col(row))
+    return fixed.where(~held).unionByName(fixed.where(held).join(stays, row, "left_semi")).drop(row)
 
 
 def as_hex(fp: str = "fp") -> Column:

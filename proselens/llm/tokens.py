@@ -21,9 +21,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: UTF-8 bytes of texts that are encoded together; a longer text is encoded by itself.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 4 << 20
 #: Distinct pieces that a worker knows the ids of, some 50 bytes each; beyond, it begins again with those of the batch.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 #: Longer pieces go through the library, whose merging is not quadratic.
 LONG_PIECE = 400
 
@@ -120,8 +120,8 @@ class Pieces:
         each = counts[index]
         ends = np.cumsum(each)
         total = int(ends[-1])
-        place = np.repeat(starts[index] - (ends - each), each)
-        place += np.arange(total)
+        place = np.repeat((starts[index] - (ends - each)).astype(np.int32), each)
+        place += np.arange(total, dtype=np.int32)
         out = ids[place]
         limits = np.concatenate([[0], ends])[np.searchsorted(bounds, offsets)]
         special = np.zeros(n, dtype=bool)
