@@ -106,7 +106,8 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int |
                 cells = tokens.binaries(got.astype("<u4").view(np.uint8), 4 * np.concatenate([bounds[doc] + start, bounds[-1:]]))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + doc)), pa.array(start), pa.array(length), cells, pa.array(total[doc]), pa.array(np.full(len(doc), task, dtype=np.int32)), pa.array(rank)], names=names)
 
-    return shared.written(shared.id_text(docs).mapInArrow(pieces, CUT_SCHEMA), "pieces")
+    with shared.small_batches(docs.sparkSession):
+        return shared.written(shared.id_text(docs).mapInArrow(pieces, CUT_SCHEMA), "pieces")
 
 
 #: Rows of (task, length) that may be sent to every task, some 24 bytes each; beyond, they are joined by a shuffle.

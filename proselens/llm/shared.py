@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +47,24 @@ def written_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Bytes of a batch of rows that is sent to a Python worker where `small_batches` holds; the last row may exceed it.
+SENT_BYTES = 4 << 20
+_SENT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written inside sends batches of about SENT_BYTES to Python, or of the session's limit where that is less.
+    By Spark's defaults a batch has up to 10,000 rows or 64 MB, and a task and its worker hold all of it."""
+    before = spark.conf.get(_SENT)
+    limit = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    spark.conf.set(_SENT, f"{min(limit, SENT_BYTES)}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(_SENT, before)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder that no later plan reads."""
     jvm = spark.sparkContext._jvm

@@ -511,7 +511,8 @@ def similar_links(classes: DataFrame, few: DataFrame, texts: DataFrame) -> DataF
     members = shared.written(tile_members(classes, few, parts, similarity), "members")
     met = members.select("r").distinct()
     passes = shared.sieve(met, "r")  # few texts share a tile: the others don't move
-    sets = shared.written(texts.where(passes(F.col("r"))).join(met, "r", "left_semi").select("r", "text").mapInArrow(sets_of, "r long, h binary"), "sets")
+    # never by broadcast: a task that has both the sieve and the sets holds two Python workers, which stay and take turns
+    sets = shared.written(texts.where(passes(F.col("r"))).join(met.hint("merge"), "r", "left_semi").select("r", "text").mapInArrow(sets_of, "r long, h binary"), "sets")
     led = shared.written(jaccard_links(candidates(members.withColumn("comp", F.col("r")), parts, radius, similarity, True), sets, similarity), "led")
     root = components(led)
     placed = members.join(root.select(F.col("node").alias("r"), "root"), "r", "left").withColumn("comp", F.coalesce("root", "r")).drop("root")

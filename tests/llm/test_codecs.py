@@ -12,9 +12,10 @@ import pyarrow as pa
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from proselens.llm import bpe, gif, packing, queries, simple8b, tokens
+from proselens.llm import bpe, gif, packing, queries, shared, simple8b, tokens
 
 ODD = [(1, "It is so, e.g. 'tis  odd\n\n x."), (2, None), (3, ""), (4, "ab " * 3000), (4, "ab " * 3000), (None, "none"), (5, "ünïcödé 日本 👩‍👩‍👧"), (6, "\x1c \x01 \t "), (7, "a" * 3000)]
 SCHEMA = "doc_id long, text string"
@@ -187,6 +188,36 @@ def test_op1(spark, tmp_path):
     assert sum(len(r.ids) for r in whole) == 4 * sum(r.length for r in rows)
 
 
+def test_cut_is_sent_small_batches(spark, monkeypatch):
+    limit, write = "spark.sql.execution.arrow.maxBytesPerBatch", shared.written
+    before = spark.conf.get(limit)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "size"])
+
+    sent = []
+
+    def written(df, what):
+        if what == "pieces":
+            sent.extend(texts.mapInArrow(sizes, "rows long, size long").collect())
+        return write(df, what)
+
+    monkeypatch.setattr(shared, "written", written)
+    texts = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcd efghi"), 500).alias("text"))
+    for own, most in ((None, shared.SENT_BYTES), ("1m", 1 << 20)):
+        if own:
+            spark.conf.set(limit, own)
+        try:
+            sent.clear()
+            got = packing.cut(texts, queries.JSON)
+            assert spark.conf.get(limit) == (own or before)
+        finally:
+            spark.conf.set(limit, before)
+        assert sum(r.rows for r in sent) == 3000 and max(r.size for r in sent) < most + 10_000
+        assert got.select("doc_id").distinct().count() == 3000
+
+
 def test_op1_pads_little(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = packing.pack_documents(docs, queries.JSON).select("sequence_id", "length").collect()

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from proselens.llm import fingerprints, licenses, packing, quality, queries, secrets, sharding, simhash
+from proselens.llm import fingerprints, licenses, packing, quality, queries, secrets, sharding, shared, simhash
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string"
@@ -595,6 +595,37 @@ def test_one_of_each_by_all_pairs(spark):
     assert sorted(r.doc_id for r in got) == sorted(set(root.values()))
 
 
+def _python_nodes(node):
+    """Most Python nodes of one task: in the topmost tasks of a plan, and in any."""
+    name = node.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return _python_nodes(node.executedPlan())
+    children = node.children()
+    below = [_python_nodes(node.plan())] if "QueryStage" in name else [_python_nodes(children.apply(k)) for k in range(children.size())]
+    most = max((m for _, m in below), default=0)
+    if "Exchange" in name or "QueryStage" in name:
+        return 0, most
+    here = (max if name.startswith("Union") else sum)([n for n, _ in below] or [0]) + any(x in name for x in ("Python", "InArrow", "InPandas"))
+    return here, max(most, here)
+
+
+def test_a_task_of_the_pipeline_has_one_python_worker(spark, tmp_path, monkeypatch):
+    plans, write = {}, shared.written
+
+    def written(df, what):
+        df.count()
+        plans.setdefault(what, []).append(_python_nodes(df._jdf.queryExecution().executedPlan())[1])
+        return write(df, what)
+
+    monkeypatch.setattr(shared, "written", written)
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(WORDS) + str(rng.randrange(500)) for _ in range(120)) + "." for _ in range(20)]
+    rows = [(k, texts[k % 20] + " end" * (k // 20), "en", "s", 9) for k in range(40)]
+    corpus_pipeline.run(spark, _saved(spark, tmp_path, rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    assert {"sets", "near_duplicates", "secrets", "pieces"} <= set(plans)
+    assert {what: n for what, n in plans.items() if max(n) > 1} == {}
+
+
 def test_blocks_of_a_hot_tile_by_all_pairs(spark, monkeypatch):
     """Tiles of one text's copies with changes, cut into blocks of eight: components as by all pairs."""
     monkeypatch.setattr(simhash, "BLOCK", 8)
