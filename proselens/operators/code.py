@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proselens.functions import lexicon as L
@@ -25,16 +25,12 @@ def _kind(rows: DataFrame, *kinds: str) -> DataFrame:
     return rows.where(F.col("kind").isin(*kinds))
 
 
-def _comments(rows: DataFrame) -> DataFrame:
-    return _kind(rows, "comment").where(F.col("name") != "doc")
-
-
-def _body() -> Column:
-    return F.regexp_replace("text", r"^(?:/\*+|//+|#+|<!--)\s*|\s*(?:\*+/|-->)$", "")
+#: What opens a comment, before a pattern that is anchored at its first word.
+OPENING = r"^(?:(?:/\*+|//+|#+|<!--)\s*)?"
 
 
 #: Facts that the front end has established, by the rule they are findings of.
-FACTS = {"fence": "PL003", "catch": "PL005", "except": "PL006", "cast": "PL007", "stub": "PL008", "reinvent": "PL037", "wrapper": "PL039", "restate": "PL042"}
+FACTS = {"fence": "PL003", "catch": "PL005", "except": "PL006", "cast": "PL007", "stub": "PL008", "long": "PL043", "reinvent": "PL037", "single": "PL040", "wrapper": "PL039", "restate": "PL042"}
 
 
 def row_rules(rows: DataFrame) -> DataFrame:
@@ -48,7 +44,7 @@ def row_rules(rows: DataFrame) -> DataFrame:
         ("PL002", comment & text.rlike(java(L.PREAMBLE))),
         ("PL004", comment & text.rlike(java(L.ATTRIBUTION))),
         ("PL050", comment & text.rlike(java(L.STAND_IN))),
-        ("PL051", comment & _body().rlike(java(L.DEMO))),
+        ("PL051", comment & text.rlike(java(OPENING + L.DEMO.removeprefix("^")))),
         ("PL007", comment & lang.isin("ts", "tsx") & text.rlike(r"@ts-(?:ignore|nocheck)(?!\s*\[)")),
         ("PL009", value & free & (text.rlike(java(L.SAMPLE_VALUE)) | text.rlike(L.SECRET_SHAPE) | text.rlike(L.PLACEHOLDER_HOST))),
         ("PL037", (kind == "string") & free & text.contains("@") & text.rlike(r"\[[^\]]*a-z[^\]]*\]\+?.*@.*\[[^\]]*a-z")),
@@ -70,28 +66,16 @@ def unresolved(rows: DataFrame, known: DataFrame) -> DataFrame:
     return _out(imports.join(live, "ecosystem", "left_semi").join(names, ["ecosystem", "package"], "left_anti"), "PL010")
 
 
-def single_implementation(rows: DataFrame) -> DataFrame:
-    """Abstractions with exactly one implementor in their file."""
-    a = _open(_kind(rows, "abstract")).select("path", "name", "line", "col")
-    one = _kind(rows, "implements").groupBy("path", "name").agg(F.count_distinct("text").alias("n")).where("n = 1").select("path", "name")
-    return _out(a.join(one, ["path", "name"], "left_semi"), "PL040")
-
-
-def long_comments(rows: DataFrame, most: int = 40) -> DataFrame:
-    """Plain comments on lines that follow each other, of more than `most` words together; not a licence, not mostly
-    signs, not in generated files; in Go only inside functions."""
-    c = _open(_comments(rows).where("flag and name <> 'top'"))
-    generated = c.where((F.col("line") <= 5) & F.col("text").rlike("(?i)do not edit|@generated")).select("path").distinct()
-    islands = c.join(generated, "path", "left_anti").withColumn("g", F.col("line") - F.row_number().over(Window.partitionBy("path").orderBy("line")))
-    words = F.size(F.filter(F.split(_body(), r"\s+", -1), lambda w: w.rlike(r"\w")))
-    blocks = islands.groupBy("path", "g").agg(F.min("line").alias("line"), F.min_by("col", "line").alias("col"), F.sum(words).alias("n"), F.max(F.col("text").rlike("(?i)copyright|licen[cs]e|spdx")).alias("legal"), F.sum(F.length(F.regexp_replace("text", r"[\w\s]", ""))).alias("signs"), F.sum(F.length("text")).alias("size"))
-    return _out(blocks.where((F.col("n") > most) & ~F.col("legal") & (F.col("signs") <= 0.25 * F.col("size"))), "PL043")
+def long_comments(rows: DataFrame) -> DataFrame:
+    """The files' long comments alone; `row_rules` has them too."""
+    return _out(_open(_kind(rows, "long")), "PL043")
 
 
 def uniform_code(docs: DataFrame) -> DataFrame:
     """Sixty lines of code or more, of even lengths in even blocks: variation of line lengths under 0.30 and of block
     lengths under 0.25, with three indents and five blocks, and no white space at line ends."""
-    rows = _open(docs.where(F.col("lang").isin("ts", "tsx", "python", "rust") & ~F.col("text").rlike(r"[ \t]\n|(?i)@generated|do not edit"))).withColumn("l", F.split("text", "\n", -1))
+    many = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) >= 59
+    rows = _open(docs.where(F.col("lang").isin("ts", "tsx", "python", "rust") & many & ~F.col("text").rlike(r"[ \t]\n|(?i)@generated|do not edit"))).withColumn("l", F.split("text", "\n", -1))
     full = F.filter("l", lambda s: F.length(F.trim(s)) >= 4)
     lengths = F.transform(full, lambda s: F.length(F.rtrim(s)).cast("double"))
     blocks = F.transform(F.filter(F.split("text", r"\n(?:[ \t]*\n)+", -1), lambda b: b.rlike(r"\S")), lambda b: F.size(F.split(b, "\n")).cast("double"))
@@ -108,7 +92,6 @@ def uniform_code(docs: DataFrame) -> DataFrame:
 
 
 def all_rules(docs: DataFrame, rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    out = row_rules(rows)
-    for part in (single_implementation(rows), long_comments(rows), uniform_code(docs)):
-        out = out.unionByName(part)
+    """The front end's rows are read once, file by file, and nothing is shuffled (but for `known`)."""
+    out = row_rules(rows).unionByName(uniform_code(docs))
     return out.unionByName(unresolved(rows, known)) if known is not None else out

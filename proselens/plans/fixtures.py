@@ -12,6 +12,8 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proselens.sources.scan import spread
+
 PYTHON = '''import json
 
 
@@ -96,9 +98,10 @@ def _chosen(column: str, values: list):
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
     said = F.concat(_chosen("doc_id", [m for *_, m, _ in CODE]), F.lit(" "), F.regexp_replace("text", r"[^\p{L}\p{N} ]+", " "))
-    return docs.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit("."), _chosen("doc_id", [x[0] for x in CODE])).alias("path"), _chosen("doc_id", [x[1] for x in CODE]).alias("lang"), F.concat(_chosen("doc_id", [x[2] for x in CODE]), F.lit("\n"), said, F.lit("\n")).alias("text"))
+    files = docs.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit("."), _chosen("doc_id", [x[0] for x in CODE])).alias("path"), _chosen("doc_id", [x[1] for x in CODE]).alias("lang"), F.concat(_chosen("doc_id", [x[2] for x in CODE]), F.lit("\n"), said, F.lit("\n")).alias("text"))
+    return files.select(F.inline(F.array(F.struct("path", "lang", "text"))))  # filters stay above, so a text is made once
 
 
 def style_files(spark: SparkSession, sf_dir: str) -> DataFrame:

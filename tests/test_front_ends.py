@@ -155,3 +155,31 @@ def test_lint(spark):
     assert got.count(("a.md", "PL014", 3)) == 1 and ("a.md", "PL014", 6) not in got and ("a.md", "PL014", 9) not in got
     assert {("b.html", "PL044", 1), ("b.html", "PL018", 1), ("b.html", "PL009", 1), ("c.py", "PL006", 11), ("a.md", "PL900", 3)} <= set(got)
     assert not [x for x in got if x[0] == "docs/d.txt"]
+
+
+def test_code_rules_read_files_once_and_shuffle_nothing(spark):
+    docs = spark.createDataFrame([("a.py", "python", PY), ("b.ts", "ts", TS)], "path string, lang string, text string")
+    plan = code.all_rules(docs, front.nodes(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Window" not in plan and "Aggregate" not in plan
+
+
+def test_long_comments_of_a_file():
+    def found(text, lang="ts"):
+        return [r[2:4] for r in front.rows_of(text, lang) if r[0] == "long"]
+
+    assert found("//" + " word" * 41) == [(1, 1)] and found("//" + " word" * 40) == []
+    assert found("x;\n  //" + " word" * 21 + "\n  //" + " word" * 20) == [(2, 3)]
+    assert found("//" + " word" * 21 + "\nx;\n//" + " word" * 20) == []
+    assert found("// Licence" + " word" * 41) == [] and found("// @generated\n//" + " word" * 41) == []
+    assert found("//" + " w ~~~~~" * 41) == [] and found("/**" + " word" * 41 + " */") == []
+    assert found("//" + " word" * 41, "go") == [] and found("func f() {\n//" + " word" * 41 + "\n}", "go") == [(2, 1)]
+
+
+def test_places_on_a_long_line_are_linear():
+    import time
+
+    text = "x = ['é', " + "'a', " * 200_000 + "]"
+    for lang in ("ts", "python"):
+        began = time.time()
+        rows = [r for r in front.rows_of(text, lang) if r[0] == "string"]
+        assert len(rows) == 200_001 and [r[3] for r in rows[:3]] == [6, 12, 17] and time.time() - began < 30
