@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,8 +88,12 @@ def spread_sample(rows: DataFrame, by: str, limit: int) -> DataFrame:
     return ranked.where((F.floor(i * n / limit) == F.col("_rank")) & (i < limit)).select(*rows.columns)
 
 
-def grams(text: Column, n: int) -> Column:
-    w = F.filter(F.split(F.lower(text), r"[^\p{L}']+", -1), lambda x: x != "")
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}']+", -1), lambda x: x != "")
+
+
+def grams(w: Column, n: int) -> Column:
+    """The different runs of `n` of the words `w`, joined by spaces."""
     if n == 1:
         return F.array_distinct(w)
     shifted = [F.slice(w, k + 1, 1 << 30).alias(f"w{k}") for k in range(n)]
@@ -94,22 +101,46 @@ def grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.transform(zipped, lambda z: F.concat_ws(" ", *[z[f"w{k}"] for k in range(n)])))
 
 
+#: Bits of a sieve: 4 MB, whatever the number of phrases.
+SIEVE_BITS = 1 << 25
+
+
+def _sieve(hashes: DataFrame) -> Callable[[Column], Column]:
+    """A test that is true of every value of `hashes.h` and of few others. Its bitmap has a fixed size: with very many values
+    it lets more pass, and the counting does the work."""
+    bit = F.pmod("h", F.lit(SIEVE_BITS))
+    words = hashes.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {SIEVE_BITS}) & 63 AS int))")).alias("b")).toArrow()
+    bits = np.zeros(SIEVE_BITS // 64, dtype=np.int64)
+    bits[words["w"].to_numpy()] = words["b"].to_numpy()
+    known = hashes.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def passes(at):
+        import pandas as pd
+
+        at = at.to_numpy()
+        return pd.Series((known.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return lambda h: passes(F.pmod(h, F.lit(SIEVE_BITS)))
+
+
 def phrase_differential(files: DataFrame, most: int = 4, support: int = SUPPORT, top: int = 150) -> DataFrame:
     """Phrases of up to `most` words that are in `support` AI files or more, by smoothed ratio of class rates: the first
-    `top`. A longer phrase is counted only where the phrase without its last word had the support."""
+    `top`. The AI files' phrases are counted by hash first, which can't give a phrase less than its files; what may have the
+    support is then counted in all files, so that no other phrase moves."""
     sizes = {r.label: r["count"] for r in files.groupBy("label").count().collect()}
     human, ai = sizes.get("human", 0), sizes.get("ai", 0)
-    kept, out = None, None
-    for n in range(1, most + 1):
-        rows = files.where(F.col("label").isin("human", "ai")).select("label", F.explode(grams(F.col("text"), n)).alias("phrase"))
-        if kept is not None:
-            rows = rows.withColumn("stem", F.regexp_replace("phrase", r" [^ ]+$", "")).join(kept, "stem", "left_semi")
-        counted = rows.groupBy("phrase").agg(F.count_if(F.col("label") == "ai").alias("ai_files"), F.count_if(F.col("label") == "human").alias("human_files")).where(F.col("ai_files") >= support)
-        kept = counted.select(F.col("phrase").alias("stem"))
-        counted = counted.withColumn("n", F.lit(n))
-        out = counted if out is None else out.unionByName(counted)
+
+    def phrases(*labels: str) -> DataFrame:
+        words = files.where(F.col("label").isin(*labels)).select("label", words_of(F.col("text")).alias("w"))
+        return words.select("label", F.explode(F.concat(*[grams(F.col("w"), n) for n in range(1, most + 1)])).alias("phrase"))
+
+    hashed = phrases(*(["ai"] if support > 0 else ["human", "ai"])).groupBy(F.xxhash64("phrase").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    passes = _sieve(hashed.where(F.col("n") >= support).select("h"))
+    rows = phrases("human", "ai").where(passes(F.xxhash64("phrase")))
+    counted = rows.groupBy("phrase").agg(F.count_if(F.col("label") == "ai").alias("ai_files"), F.count_if(F.col("label") == "human").alias("human_files")).where(F.col("ai_files") >= support)
     ratio = ((F.col("ai_files") + 1) / (ai + 2)) / ((F.col("human_files") + 1) / (human + 2))
-    return out.withColumn("ratio", F.round(ratio, 6)).orderBy(F.desc("ratio"), "phrase").limit(top)
+    return counted.withColumn("n", F.size(F.split("phrase", " "))).withColumn("ratio", F.round(ratio, 6)).orderBy(F.desc("ratio"), "phrase").limit(top)
 
 
 _COMMENT = r"(?im)^\s*(?://+|#+|\*+|<!--)\s*"

@@ -139,3 +139,22 @@ def test_a_line_of_many_dashes_is_linear(spark):
     assert prose.dashes(docs).count() == 100_000 and time.time() - began < 30
     found = prose.each_match(docs, "PLX", "and").orderBy("col").limit(2).collect()
     assert [r.col for r in found] == [8, 19]
+
+
+def test_phrases_move_only_where_they_may_have_the_support(spark):
+    from collections import Counter
+
+    from proselens.operators import corpus
+
+    texts = [("ai", "a b c a b"), ("ai", "A b, c d"), ("human", "a b x y z"), ("human", "b c d"), ("none", "a b c d"), ("ai", None), ("ai", "")]
+    files = spark.createDataFrame([(str(k), t, label) for k, (label, t) in enumerate(texts)], "path string, text string, label string")
+    counts = {"ai": Counter(), "human": Counter(), "none": Counter()}
+    for label, text in texts:
+        w = (text or "").lower().replace(",", "").split()
+        counts[label].update({" ".join(w[k : k + n]) for n in range(1, 5) for k in range(len(w) - n + 1)})
+    for support in (0, 1, 2, 3):
+        found = corpus.phrase_differential(files, support=support)
+        want = {(p, counts["ai"][p], counts["human"][p], p.count(" ") + 1) for p in counts["ai"] | counts["human"] if counts["ai"][p] >= support}
+        assert {(r.phrase, r.ai_files, r.human_files, r.n) for r in found.collect()} == want, support
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
